@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, omh
 
-MODULES = (mixing, chat)
+MODULES = (omh, mixing, chat)
 
 
 def queries() -> dict:
