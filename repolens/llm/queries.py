@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, omh
+from . import chat, mixing, omh, warc
 
-MODULES = (omh, mixing, chat)
+MODULES = (omh, warc, mixing, chat)
 
 
 def queries() -> dict:
