@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, omh, warc
+from . import chat, mixing, omh, units, warc
 
-MODULES = (omh, warc, mixing, chat)
+MODULES = (units, omh, warc, mixing, chat)
 
 
 def queries() -> dict:
