@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, omh, units, warc
+from . import chat, mixing, omh, suffix, units, warc
 
-MODULES = (units, omh, warc, mixing, chat)
+MODULES = (units, suffix, omh, warc, mixing, chat)
 
 
 def queries() -> dict:
