@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, omh, suffix, units, warc
+from . import chat, jaccard, mixing, omh, suffix, units, warc
 
-MODULES = (units, suffix, omh, warc, mixing, chat)
+MODULES = (units, suffix, omh, warc, jaccard, mixing, chat)
 
 
 def queries() -> dict:
