@@ -13,8 +13,9 @@ that unlike documents meet. Bands with d = 0 get some spare segments, so that a
 with no more empty segments than that leave empty ones, which match too often, out of the index.
 
 *Candidates.* In a signature's group each node is paired with the least node only. Verified links merge nodes into
-components; then groups whose nodes still lie in several components get all pairs across components that a bound from
-64 shingle counts lets through. So no group is expanded into all pairs, yet no component is missed.
+components; then groups whose nodes still lie in several components get, first, the likeliest pair of each node with
+each other component and, after merging again, all pairs across components that a bound from shingle counts lets
+through. So no group is expanded into all pairs, yet no component is missed.
 
 *Verification* intersects the full sets. Texts are read again for nodes with candidates only; a Bloom filter of fixed
 size thins the documents before the join that decides.
@@ -57,10 +58,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
     h = span_hash(prefix_hash(lower_ascii(data)), starts, ends)
     n = np.diff(first)
+    step = np.arange(1, 2 * k, 2, dtype=np.uint64)
     pad = np.r_[h, np.zeros(k, np.uint64)]
     acc = np.zeros(len(h), np.uint64)
     for i in range(k):
-        acc = acc + mix(pad[i : i + len(h)] + _K[i % len(_K)] * np.uint64(2 * i + 1))
+        acc = acc + mix(pad[i : i + len(h)] + (_K[i % len(_K)] ^ step[i]))
     acc = mix(acc)
     out, size = [], np.zeros(n_docs, np.int64)
     for d in np.flatnonzero(n):
@@ -92,7 +94,12 @@ def allocate(largest: int, docs: int, threshold: int = THRESHOLD) -> tuple[int,
     best = None
     for ones in range(0, min((need + 1) // 2, 4) + 1):
         zeros = max(0, need - 2 * ones)
-        spare = math.ceil(0.08 * zeros) if zeros > 4 else 0
+        spare = 0
+        if zeros > 4:  # as many as the smallest sets of the key space leave empty, most of the time
+            least = threshold / 150 * largest
+            for _ in range(20):
+                empty = (ones + zeros + spare) * math.exp(-least / (ones + zeros + spare))
+                spare = math.ceil(empty + 2 * math.sqrt(empty))
         mean = 0.8 * largest / (ones + zeros + spare)
         signatures = ones * (mean + 1) + zeros + spare
         # a few empty segments are left out where spare ones are there
@@ -179,16 +186,18 @@ def _batches(batch, k: int):
 
 
 def node_table(docs: DataFrame, k: int) -> DataFrame:
-    """id_, n, node, sketch (64 counts of a byte each: their distance is at most the sets' difference)."""
+    """id_, n, node, sketch (counts of a byte each: their distance is at most the sets' difference)."""
 
     def run(batches):
         for batch in batches:
             for ids, sets, at, nodes in _batches(batch, k):
                 n = np.diff(at)
                 doc = np.repeat(np.arange(len(ids)), n)
-                cell = (sets & np.uint64(SKETCH - 1)).astype(np.int64)
-                counts = np.minimum(np.bincount(doc * SKETCH + cell, minlength=len(ids) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(nodes, mask=n == 0), pa.array([c.tobytes() for c in counts], pa.binary())], names=["id_", "n", "node", "sketch"])
+                c = cells(n)
+                edge = np.r_[0, np.cumsum(c)]
+                cell = edge[doc] + (sets & (c[doc] - 1).astype(np.uint64)).astype(np.int64)
+                counts = np.minimum(np.bincount(cell, minlength=edge[-1]), 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(nodes, mask=n == 0), pa.array([counts[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["id_", "n", "node", "sketch"])
 
     return docs.mapInArrow(run, "id_ long, n long, node long, sketch binary")
 
@@ -248,9 +257,20 @@ def candidates(docs: DataFrame, buckets: int, bands: Bands, k: int) -> DataFrame
     return packed.groupBy("bucket").applyInArrow(settle, "kind int, a long, b long")
 
 
-def _counts(column) -> np.ndarray:
+def cells(n: np.ndarray) -> np.ndarray:
+    """Counters of a set of n: a power of two, a quarter of n and SKETCH at least."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(SKETCH, n / 4))).astype(np.int64))
+
+
+def difference_bound(p: np.ndarray, q: np.ndarray) -> int:
+    """A lower bound of the difference of two sets from their counters; the longer list is folded."""
+    c = min(len(p), len(q))
+    return int(np.abs(p.astype(np.int32).reshape(-1, c).sum(0) - q.astype(np.int32).reshape(-1, c).sum(0)).sum())
+
+
+def _counts(column) -> list[np.ndarray]:
     data, off = text_view(column)
-    return data.reshape(len(off) - 1, SKETCH).astype(np.int16)
+    return [data[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
 
 
 def plausible(pairs: DataFrame, info: DataFrame, threshold: int) -> DataFrame:
@@ -261,7 +281,7 @@ def plausible(pairs: DataFrame, info: DataFrame, threshold: int) -> DataFrame:
 
     def run(batches):
         for x in batches:
-            far = np.abs(_counts(x.column("sa")) - _counts(x.column("sb"))).sum(1)
+            far = np.array([difference_bound(p, q) for p, q in zip(_counts(x.column("sa")), _counts(x.column("sb")), strict=True)], np.int64)
             total = x.column("na").to_numpy() + x.column("nb").to_numpy()
             yield x.select(["a", "b"]).filter(pa.array(far <= most_difference(total, threshold)))
 
@@ -329,9 +349,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame, threshold: int, block: int = 512) -> DataFrame:
-    """Plausible pairs between components within the groups of rest (a: group, b: node) not yet in known. Groups that
-    lie in one component drop out first; the others are compared in blocks."""
+def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame, threshold: int, every: bool, block: int = 512) -> DataFrame:
+    """Plausible pairs between components within the groups of rest (a: group, b: node) not yet in known: all of them,
+    or for each node only the likeliest in each other component. Groups that lie in one component drop out first; the
+    others are compared in blocks."""
     placed = rest.join(labels, F.col("b") == F.col("v"), "left").select(F.col("a").alias("g"), F.col("b").alias("node"), F.coalesce("c", "b").alias("c"))
     mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
     rows = placed.join(mixed, "g", "left_semi").join(info, "node")
@@ -340,7 +361,8 @@ def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame
         group = group.combine_chunks()
         node, c, n = (group[x].to_numpy() for x in ("node", "c", "n"))
         order = np.lexsort((node, n))
-        node, c, n, count = node[order], c[order], n[order], _counts(group["sketch"])[order]
+        node, c, n, full = node[order], c[order], n[order], _counts(group["sketch"].take(pa.array(order)))
+        count = np.array([x.astype(np.int32).reshape(-1, SKETCH).sum(0) for x in full], np.int32)
         found = []
         for i in range(0, len(node), block):
             # sizes ascend: partners of a block end where they grow too large
@@ -352,6 +374,15 @@ def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame
                     far += np.abs(count[p, x][:, None] - count[q, x][None, :])
                 ok = (far <= most_difference(n[p][:, None] + n[q][None, :], threshold)) & (c[p][:, None] != c[q][None, :])
                 u, v = np.nonzero(ok)
+                for x in np.flatnonzero((n[p][u] > 4 * SKETCH) & (n[q][v] > 4 * SKETCH)):  # both have finer counters
+                    far[u[x], v[x]] = difference_bound(full[i + u[x]], full[j + v[x]])
+                fine = far[u, v] <= most_difference(n[p][u] + n[q][v], threshold)
+                u, v = u[fine], v[fine]
+                if not every:
+                    order = np.lexsort((far[u, v], c[q][v], u))
+                    u, v = u[order], v[order]
+                    best = np.r_[True, (u[1:] != u[:-1]) | (c[q][v][1:] != c[q][v][:-1])][: len(u)]
+                    u, v = u[best], v[best]
                 found.append(np.stack([node[p][u], node[q][v]], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
@@ -372,10 +403,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = materialise(verify(own, nodes, first, k, threshold), "jaccard-links")
     labels = components(links)
     rest = found.where("kind = 1").select("a", "b").distinct()
-    second = materialise(across(rest, first, labels, info, threshold), "jaccard-pairs")
-    if second.limit(1).count():
-        links = links.unionByName(verify(own, nodes, second, k, threshold))
-        labels = components(links)
+    known = first
+    for every in (False, True):  # the likeliest merge most components, so that few pairs are left
+        more = materialise(across(rest, known, labels, info, threshold, every), "jaccard-pairs")
+        if more.limit(1).count():
+            known = known.unionByName(more)
+            links = links.unionByName(materialise(verify(own, nodes, more, k, threshold), "jaccard-links"))
+            labels = components(links)
     placed = nodes.join(labels, F.col("node") == F.col("v"), "left").select("id_", "n", F.coalesce("c", "node").alias("c"))
     least = placed.where("c IS NOT NULL").groupBy("c").agg(F.min("id_").alias("least_"))
     return placed.join(least, "c", "left").select(F.col("id_").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least_", "id_").alias("component_id"))
