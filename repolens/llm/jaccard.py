@@ -258,8 +258,8 @@ def candidates(docs: DataFrame, buckets: int, bands: Bands, k: int) -> DataFrame
 
 
 def cells(n: np.ndarray) -> np.ndarray:
-    """Counters of a set of n: a power of two, a quarter of n and SKETCH at least."""
-    return np.left_shift(1, np.ceil(np.log2(np.maximum(SKETCH, n / 4))).astype(np.int64))
+    """Counters of a set of n: a power of two, half of n and SKETCH at least."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(SKETCH, n / 2))).astype(np.int64))
 
 
 def difference_bound(p: np.ndarray, q: np.ndarray) -> int:
@@ -351,44 +351,56 @@ def components(links: DataFrame) -> DataFrame:
 
 def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame, threshold: int, every: bool, block: int = 512) -> DataFrame:
     """Plausible pairs between components within the groups of rest (a: group, b: node) not yet in known: all of them,
-    or for each node only the likeliest in each other component. Groups that lie in one component drop out first; the
-    others are compared in blocks."""
+    or for each node only the likeliest in each other component. Groups that lie in one component drop out first.
+    Copies of a text share many groups; those with the same least node are taken together, so that a pair is compared
+    once there and not once a group."""
     placed = rest.join(labels, F.col("b") == F.col("v"), "left").select(F.col("a").alias("g"), F.col("b").alias("node"), F.coalesce("c", "b").alias("c"))
-    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    rows = placed.join(mixed, "g", "left_semi").join(info, "node")
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        node, c, n = (group[x].to_numpy() for x in ("node", "c", "n"))
-        order = np.lexsort((node, n))
-        node, c, n, full = node[order], c[order], n[order], _counts(group["sketch"].take(pa.array(order)))
-        count = np.array([x.astype(np.int32).reshape(-1, SKETCH).sum(0) for x in full], np.int32)
+    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("hub")).where("lo <> hi").select("g", "hub")
+    members = placed.join(mixed, "g").groupBy("hub", "node", "c").agg(F.collect_list("g").alias("groups"))
+    rows = members.join(info, "node")
+
+    def run(table_: pa.Table) -> pa.Table:
+        table_ = table_.combine_chunks()
+        n = table_["n"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        table_, n = table_.take(pa.array(order)), n[order]
+        node, c, full, width = table_["node"].to_numpy(), table_["c"].to_numpy(), _counts(table_["sketch"]), cells(n)
+        groups = table_["groups"].combine_chunks()
+        owner, group = np.repeat(np.arange(len(n)), np.diff(groups.offsets.to_numpy())), groups.flatten().to_numpy()
+        by_group = np.argsort(group, kind="stable")
+        owner, group = owner[by_group], group[by_group]
+        members = np.split(owner, np.flatnonzero(group[1:] != group[:-1]) + 1)
         found = []
-        for i in range(0, len(node), block):
-            # sizes ascend: partners of a block end where they grow too large
-            stop = int(np.searchsorted(n * threshold, 100 * n[min(i + block, len(n)) - 1], side="right"))
+        for i in range(0, len(n), block):
+            end = min(i + block, len(n))
+            stop = int(np.searchsorted(n * threshold, 100 * n[end - 1], side="right"))
             for j in range(i, stop, block):
-                p, q = slice(i, min(i + block, len(n))), slice(j, min(j + block, stop))
-                far = np.zeros((p.stop - p.start, q.stop - q.start), np.int32)
-                for x in range(SKETCH):
-                    far += np.abs(count[p, x][:, None] - count[q, x][None, :])
-                ok = (far <= most_difference(n[p][:, None] + n[q][None, :], threshold)) & (c[p][:, None] != c[q][None, :])
-                u, v = np.nonzero(ok)
-                for x in np.flatnonzero((n[p][u] > 4 * SKETCH) & (n[q][v] > 4 * SKETCH)):  # both have finer counters
-                    far[u[x], v[x]] = difference_bound(full[i + u[x]], full[j + v[x]])
-                fine = far[u, v] <= most_difference(n[p][u] + n[q][v], threshold)
-                u, v = u[fine], v[fine]
+                last = min(j + block, stop)
+                together = np.zeros((end - i, last - j), bool)
+                for m in members:
+                    p, q = m[(m >= i) & (m < end)] - i, m[(m >= j) & (m < last)] - j
+                    if len(p) and len(q):
+                        together[np.ix_(p, q)] = True
+                together &= (c[i:end, None] != c[None, j:last]) & (node[i:end, None] != node[None, j:last])
+                u, v = np.nonzero(together)
+                if len(u) == 0:
+                    continue
+                # sizes ascend, so the first of the block has the fewest counters; others are folded to as many
+                one, two = (np.array([full[x].astype(np.int16).reshape(-1, width[i]).sum(0) for x in range(*r)], np.int16) for r in ((i, end), (j, last)))
+                far = np.concatenate([np.abs(one[u[x : x + 8192]] - two[v[x : x + 8192]]).sum(1, dtype=np.int64) for x in range(0, len(u), 8192)])
+                ok = far <= most_difference(n[i:end][u] + n[j:last][v], threshold)
+                u, v, far = u[ok], v[ok], far[ok]
                 if not every:
-                    order = np.lexsort((far[u, v], c[q][v], u))
+                    order = np.lexsort((far, c[j:last][v], u))
                     u, v = u[order], v[order]
-                    best = np.r_[True, (u[1:] != u[:-1]) | (c[q][v][1:] != c[q][v][:-1])][: len(u)]
+                    best = np.r_[True, (u[1:] != u[:-1]) | (c[j:last][v][1:] != c[j:last][v][:-1])][: len(u)]
                     u, v = u[best], v[best]
-                found.append(np.stack([node[p][u], node[q][v]], 1))
+                found.append(np.stack([node[i:end][u], node[j:last][v]], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
-    pairs = rows.select("g", "node", "c", "n", "sketch").groupBy("g").applyInArrow(run, "a long, b long").distinct()
+    pairs = rows.select("hub", "node", "c", "n", "sketch", "groups").groupBy("hub").applyInArrow(run, "a long, b long").distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
 
 

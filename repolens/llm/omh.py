@@ -91,10 +91,12 @@ def likeness(a: Column, b: Column, tuple_size: int = TUPLE) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.pow(same / filled, F.lit(1.0 / tuple_size))).cast("double")
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], prefix: str = "next_") -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], prefix: str = "next_", derived: dict[str, Column] | None = None) -> DataFrame:
     """docs with the columns of the next row in descending key order (after the last: the first), without a global
     sort: keys are dealt into ranges of about BUCKET_ROWS rows, each range also gets the top row of the next lower
-    one, and lead() runs within ranges. The table of ranges is bounded by MOST_BUCKETS rows, so it is broadcast."""
+    one, and lead() runs within ranges. The table of ranges is bounded by MOST_BUCKETS rows, so it is broadcast. Costly columns
+    go into derived: they are made once a row, after the few rows that stand in two ranges are known."""
+    derived = derived or {}
     row = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     n = row["n"] or 0
     lo, hi = (row["lo"] or 0), (row["hi"] or 0)
@@ -109,18 +111,18 @@ def with_next(docs: DataFrame, key: str, columns: list[str], prefix: str = "next
     tops = tops.select("r_", "top_", F.lead("r_").over(upper).alias("above_"), F.max("r_").over(Window.partitionBy()).alias("most_"), F.min("r_").over(Window.partitionBy()).alias("least_"))
     # the top range's first row follows the very last row of the lowest range
     tops = tops.select(F.col("r_").alias("t_"), F.col("top_"), F.coalesce("above_", "least_").alias("to_"))
-    guests = d.join(F.broadcast(tops), (F.col("r_") == F.col("t_")) & F.col(key).eqNullSafe(F.col("top_"))).select(*docs.columns, F.col("to_").alias("r_"), F.lit(True).alias("guest_"))
-    one = d.select(*docs.columns, "r_", F.lit(False).alias("guest_"))
+    guests = d.join(F.broadcast(tops), (F.col("r_") == F.col("t_")) & F.col(key).eqNullSafe(F.col("top_"))).select(*docs.columns, F.col("to_").alias("r_"), F.lit(True).alias("guest_")).withColumns(derived)
+    one = d.select(*docs.columns, "r_", F.lit(False).alias("guest_")).withColumns(derived)
     w = Window.partitionBy("r_").orderBy(F.col("guest_"), *order)
     both = one.unionByName(guests)
-    return both.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in columns]).where(~F.col("guest_")).drop("r_", "guest_")
+    return both.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in [*columns, *derived]]).where(~F.col("guest_")).drop("r_", "guest_")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each text against the
     same with its last third replaced by the head of its successor, and against the successor."""
-    d = docs.select(F.col(key).alias("id_"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("sig", fingerprint_array(F.col("body"), **options))
-    d = with_next(d, "id_", ["body", "sig"])
+    d = docs.select(F.col(key).alias("id_"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    d = with_next(d, "id_", ["body"], derived={"sig": fingerprint_array(F.col("body"), **options)})
     third = F.floor(F.length("body") / 3).cast("int")
     d = d.select("*", F.concat(F.substring("body", F.lit(1), F.length("body") - third), F.substring("next_body", F.lit(1), third)).alias("edited"))
     d = d.select("id_", "body", "sig", "next_sig", "edited", fingerprint_array(F.col("edited"), **options).alias("edited_sig"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, omh, suffix, units, warc
+from . import chat, jaccard, langid, mixing, omh, suffix, toxicity, units, warc
 
-MODULES = (units, suffix, omh, warc, jaccard, mixing, chat)
+MODULES = (units, suffix, toxicity, omh, warc, jaccard, mixing, chat, langid)
 
 
 def queries() -> dict:
