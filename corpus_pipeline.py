@@ -3,14 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from repolens.llm import decontaminate, jaccard, mixing, suffix, toxicity
 
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a toxicity score under the cut. Labels held out in op3 are not learned from here either."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    scorer = toxicity.learn(docs.where(~toxicity.held_out()), labels)
+    scored = toxicity.score(docs.withColumnRenamed("score", "score_") if "score" in rest else docs, scorer, keep=tuple("score_" if c == "score" else c for c in rest))
+    return scored.where(F.col("score") < toxicity.CUT).drop("score").withColumnRenamed("score_", "score").select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the least id stays."""
+    kept = jaccard.jaccard_components(docs).where("component_id = doc_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 200 that also start elsewhere go; documents of which only white space is left go, too."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = suffix.suffix_dedup(docs, with_text=True, keep=rest)
+    out = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select(F.col("key_").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target asks for."""
+    return mixing.mix_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("source_mixing", mix_sources),
+]
+
+#: Neither a trained classifier nor latent retrieval can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; each is written and read again, as a stage's input is read more than once."""
+    from repolens.llm.common import materialise
+
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

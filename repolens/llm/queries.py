@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, langid, mixing, omh, suffix, toxicity, units, warc
+from . import chat, decontaminate, jaccard, langid, mixing, omh, suffix, toxicity, units, warc
 
-MODULES = (units, suffix, toxicity, omh, warc, jaccard, mixing, chat, langid)
+MODULES = (units, suffix, toxicity, omh, warc, jaccard, mixing, decontaminate, chat, langid)
 
 
 def queries() -> dict:

@@ -27,12 +27,12 @@ def bytes_in(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def cut(docs: DataFrame, marks: DataFrame, to_spans, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """docs: key, text. marks: key, mark (binary), any number of rows a document. to_spans(list of marks) gives the
+def cut(docs: DataFrame, marks: DataFrame, to_spans, key: str = "doc_id", text: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs: key, text, and the columns to keep. marks: key, mark (binary), any number of rows a document. to_spans(list of marks) gives the
     (start, end) arrays to remove. Returns key, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start, end
     in bytes of the original) and, on request, kept_text; one row for each row of docs, marked or not."""
     gathered = marks.groupBy(F.col("id_")).agg(F.collect_list("mark").alias("marks_"))
-    joined = docs.select(F.col(key).alias("key_"), F.col(text).alias("body_")).join(gathered, F.col("key_") == F.col("id_"), "left").select("key_", "body_", "marks_")
+    joined = docs.select(F.col(key).alias("key_"), F.col(text).alias("body_"), F.struct(F.lit(0).alias("z_"), *keep).alias("rest_")).join(gathered, F.col("key_") == F.col("id_"), "left").select("key_", "body_", "marks_", "rest_")
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     fields = [("key_", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(span))]
     fields += [("kept_text", pa.string())] * with_text
@@ -57,7 +57,9 @@ def cut(docs: DataFrame, marks: DataFrame, to_spans, key: str = "doc_id", text:
                 if with_text:
                     out["kept_text"].append(kept.decode("utf-8", "ignore"))
             out["key_"] = batch.column("key_")
-            yield pa.RecordBatch.from_arrays([out[n] if n == "key_" else pa.array(out[n], t) for n, t in fields], schema=schema)
+            made = [out[n] if n == "key_" else pa.array(out[n], t) for n, t in fields]
+            yield pa.RecordBatch.from_arrays([*made, batch.column("rest_")], names=[*schema.names, "rest_"])
 
     ddl = "key_ long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept_text string" * with_text
-    return joined.mapInArrow(run, ddl).withColumnRenamed("key_", key)
+    ddl += f", rest_ {dict(joined.dtypes)['rest_']}"
+    return joined.mapInArrow(run, ddl).withColumnRenamed("key_", key).select(key, *schema.names[1:], *[F.col("rest_")[c].alias(c) for c in keep])

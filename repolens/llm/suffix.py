@@ -302,10 +302,10 @@ def suffix_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return marks.unionByName(verdicts)
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, removed, and kept_text on request."""
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256, removed; kept_text on request; the columns in keep."""
     own = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("body_"))
-    return cut(own, suffix_marks(own, length, gram), to_spans(length), "key_", "body_", with_text).withColumnRenamed("key_", key)
+    return cut(docs, suffix_marks(own, length, gram), to_spans(length), key, text, with_text, keep)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
