@@ -349,6 +349,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: components are contracted first, so only links between them are followed."""
+    at = lambda c: labels.select(F.col("v").alias(c), F.col("c").alias(c + "_c"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
+    up = components(between).select(F.col("v").alias("c"), F.col("c").alias("up"))
+    old = labels.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"))
+    new = up.select(F.col("c").alias("v"), F.col("up").alias("c")).join(labels, "v", "left_anti")
+    return materialise(old.unionByName(new), "labels")
+
+
 def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame, threshold: int, every: bool, block: int = 512) -> DataFrame:
     """Plausible pairs between components within the groups of rest (a: group, b: node) not yet in known: all of them,
     or for each node only the likeliest in each other component. Groups that lie in one component drop out first.
@@ -420,8 +430,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         more = materialise(across(rest, known, labels, info, threshold, every), "jaccard-pairs")
         if more.limit(1).count():
             known = known.unionByName(more)
-            links = links.unionByName(materialise(verify(own, nodes, more, k, threshold), "jaccard-links"))
-            labels = components(links)
+            labels = merged(labels, materialise(verify(own, nodes, more, k, threshold), "jaccard-links"))
     placed = nodes.join(labels, F.col("node") == F.col("v"), "left").select("id_", "n", F.coalesce("c", "node").alias("c"))
     least = placed.where("c IS NOT NULL").groupBy("c").agg(F.min("id_").alias("least_"))
     return placed.join(least, "c", "left").select(F.col("id_").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least_", "id_").alias("component_id"))
