@@ -156,7 +156,7 @@ def latent_basis(docs: DataFrame, q: Query, rank: int = RANK, seed: int = 3) ->
 
     def run(batches):
         terms, idf, g = shared.value
-        z = np.zeros(g.shape, np.float32)
+        z, single = np.zeros(g.shape, np.float32), np.zeros(len(terms), np.int64)
         for batch in batches:
             data, off = text_view(batch.column("t_"))
             for i, j in pieces(off):
@@ -164,14 +164,25 @@ def latent_basis(docs: DataFrame, q: Query, rank: int = RANK, seed: int = 3) ->
                 p, t, w = passages(h, first, terms, idf)
                 if len(p) == 0:
                     continue
-                head = _heads(p)
-                norm = np.sqrt(np.add.reduceat(w * w, head))
-                w = w / np.repeat(norm, np.diff(np.r_[head, len(p)]))
-                y = np.add.reduceat(w[:, None] * g[t], head)
-                back = w[:, None] * np.repeat(y, np.diff(np.r_[head, len(p)]), axis=0)
-                order = np.argsort(t, kind="stable")
-                at = _heads(t[order])
-                z[t[order][at]] += np.add.reduceat(back[order], at)
+                # a passage of one term is that term's unit row: it adds the row of G itself
+                alone = np.r_[True, p[1:] != p[:-1]] & np.r_[p[1:] != p[:-1], True]
+                single += np.bincount(t[alone], minlength=len(terms))
+                p, t, w = p[~alone], t[~alone], w[~alone]
+                ends = np.r_[_heads(p), len(p)]
+                at = 0
+                while at < len(ends) - 1:  # few rows at a time stay in the processor's cache
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + 1024, side="right")) - 1)
+                    lo, hi = ends[at], ends[to]
+                    head, n = ends[at:to] - lo, np.diff(ends[at : to + 1])
+                    x = w[lo:hi] / np.repeat(np.sqrt(np.add.reduceat(w[lo:hi] ** 2, head)), n)
+                    y = np.add.reduceat(x[:, None] * g[t[lo:hi]], head)
+                    order = np.argsort(t[lo:hi], kind="stable")
+                    first_of = _heads(t[lo:hi][order])
+                    back = y[np.repeat(np.arange(len(n)), n)[order]]
+                    back *= x[order, None]
+                    z[t[lo:hi][order][first_of]] += np.add.reduceat(back, first_of)
+                    at = to
+        z += single[:, None] * g
         some = np.flatnonzero(np.abs(z).sum(1))
         for i in range(0, len(some), 4096):
             part = some[i : i + 4096]
