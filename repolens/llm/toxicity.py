@@ -60,12 +60,13 @@ class Scorer:
     voters: np.ndarray  # which terms are voters
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        docs, terms, _ = term_rows(data, offsets)
         x = np.zeros((len(offsets) - 1, len(self.terms)), bool)
-        for d, t in zip(docs, terms, strict=True):
-            at = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
-            hit = self.terms[at] == t
-            x[d[hit], at[hit]] = True
+        for i, j in pieces(offsets):
+            docs, terms, _ = term_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for d, t in zip(docs, terms, strict=True):
+                at = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
+                hit = self.terms[at] == t
+                x[i + d[hit], at[hit]] = True
         return x
 
     def design(self, x: np.ndarray) -> np.ndarray:
@@ -110,26 +111,39 @@ def fit(rows: pa.Table) -> Scorer:
     """rows: text, toxic."""
     y = np.array(rows["toxic"].to_pylist(), float)
     data, off = text_view(rows["text"])
-    docs, terms, count = term_rows(data, off)
     insults = np.array(sorted({term_hash(x) for x in INSULTS}), np.uint64)
     fixed = Scorer(insults, np.r_[np.full(len(insults), 2.5), 1.0, -3.0], np.ones(len(insults), bool))
     if len(y) == 0 or y.sum() == 0 or y.sum() == len(y):
         return fixed
-    # copies of one text share their least word hashes: one group, counted once
-    least = np.zeros(len(y), np.uint64)
-    order = np.lexsort((mix(terms[0]), docs[0]))
-    w, d = mix(terms[0])[order], docs[0][order]
-    head = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])[: len(np.unique(d))] if len(d) else np.zeros(0, int)
-    least[d[head]] = w[head]
-    group = np.where(count >= 20, least, np.arange(len(y), dtype=np.uint64))
-    _, group = np.unique(group, return_inverse=True)
-    tally = {}
-    d, t = np.concatenate(docs), np.concatenate(terms)
-    key, at = np.unique(t, return_inverse=True)
-    for label in (0, 1):
-        mine = y[d] == label
-        pair = np.unique(at[mine].astype(np.int64) * (group.max() + 1) + group[d[mine]])
-        tally[label] = np.bincount(pair // (group.max() + 1), minlength=len(key))
+    # copies of one text share their least word hashes: one group, of which one document is counted
+    group = np.arange(len(y), dtype=np.uint64)
+    for i, j in pieces(off):
+        docs, terms, count = term_rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        h = mix(terms[0])
+        order = np.lexsort((h, docs[0]))
+        h, d = h[order], docs[0][order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][: len(h)]
+        h, d = h[new], d[new]
+        at = np.searchsorted(d, np.arange(j - i))
+        wide = np.flatnonzero(count >= 20)
+        wide = wide[at[wide] + 2 < len(h)]
+        wide = wide[d[at[wide] + 2] == wide]
+        group[i + wide] = mix(h[at[wide]] + mix(h[at[wide] + 1] + mix(h[at[wide] + 2])))
+    _, one, group = np.unique(group * np.uint64(2) + (y > 0.5).astype(np.uint64), return_index=True, return_inverse=True)
+    counted = np.zeros(len(y), bool)
+    counted[one] = True
+    keys, tallies = [], []
+    for i, j in pieces(off):
+        docs, terms, _ = term_rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        d, t = np.concatenate(docs), np.concatenate(terms)
+        d, t = d[counted[i + d]], t[counted[i + d]]
+        k, at = np.unique(t, return_inverse=True)
+        pair = np.unique(at.astype(np.int64) * (j - i) + d)
+        toxic = y[i + pair % (j - i)] > 0.5
+        keys.append(k)
+        tallies.append(np.stack([np.bincount(pair[m] // (j - i), minlength=len(k)) for m in (~toxic, toxic)]))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    tally = [np.bincount(at, weights=np.concatenate([x[label] for x in tallies]), minlength=len(key)) for label in (0, 1)]
     n1, n0 = len(np.unique(group[y == 1])), len(np.unique(group[y == 0]))
     p1, p0 = (tally[1] + 0.5) / (n1 + 1), (tally[0] + 0.5) / (n0 + 1)
     lift = np.log(p1 / p0)
@@ -167,8 +181,7 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
     def run(batches):
         for batch in batches:
             data, off = text_view(batch.column("t_"))
-            found = [scorer.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in pieces(off)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, *keep)], pa.array(np.concatenate(found) if found else np.zeros(0))], names=[key, *keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, *keep)], pa.array(scorer.score(data, off))], names=[key, *keep, "score"])
 
     d = docs.select(key, *keep, F.col(text).alias("t_"))
     kinds = dict(d.dtypes)
