@@ -187,7 +187,10 @@ def cut_words(data: np.ndarray, offsets: np.ndarray):
 
 def learn(docs: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE) -> ByteTagger | None:
     """A tagger from at most sample rows of docs, the least by hash of the key."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(key).alias("h_"), F.col(text).alias("t_"), F.col(label).alias("l_")).orderBy("h_", "l_", "t_").limit(sample).toArrow()
+    known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    # ids first: texts of other rows never meet in one task; the ids are few by the bound, so they are broadcast
+    few = known.select(F.col(key).alias("k_")).orderBy(F.xxhash64("k_"), "k_").limit(sample).distinct()
+    rows = known.join(F.broadcast(few), F.col(key) == F.col("k_")).select(F.xxhash64(key).alias("h_"), F.col(text).alias("t_"), F.col(label).alias("l_")).orderBy("h_", "l_", "t_").limit(sample).toArrow()
     if rows.num_rows == 0:
         return None
     labels = sorted(set(rows["l_"].to_pylist()))
