@@ -13,8 +13,8 @@ that unlike documents meet. Bands with d = 0 get some spare segments, so that a
 with no more empty segments than that leave empty ones, which match too often, out of the index.
 
 *Candidates.* In a signature's group each node is paired with the least node only. Verified links merge nodes into
-components; then groups whose nodes still lie in several components get, first, the likeliest pair of each node with
-each other component and, after merging again, all pairs across components that a bound from shingle counts lets
+components; then groups whose nodes still lie in several components get, for a few rounds of merging, each node's
+likeliest partner in another component and, last, all pairs across components that a bound from shingle counts lets
 through. So no group is expanded into all pairs, yet no component is missed.
 
 *Verification* intersects the full sets. Texts are read again for nodes with candidates only; a Bloom filter of fixed
@@ -361,7 +361,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame, threshold: int, every: bool, block: int = 512) -> DataFrame:
     """Plausible pairs between components within the groups of rest (a: group, b: node) not yet in known: all of them,
-    or for each node only the likeliest in each other component. Groups that lie in one component drop out first.
+    or for each node only the likeliest partner. Groups that lie in one component drop out first.
     Copies of a text share many groups; those with the same least node are taken together, so that a pair is compared
     once there and not once a group."""
     placed = rest.join(labels, F.col("b") == F.col("v"), "left").select(F.col("a").alias("g"), F.col("b").alias("node"), F.coalesce("c", "b").alias("c"))
@@ -401,10 +401,9 @@ def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame
                 ok = far <= most_difference(n[i:end][u] + n[j:last][v], threshold)
                 u, v, far = u[ok], v[ok], far[ok]
                 if not every:
-                    order = np.lexsort((far, c[j:last][v], u))
-                    u, v = u[order], v[order]
-                    best = np.r_[True, (u[1:] != u[:-1]) | (c[j:last][v][1:] != c[j:last][v][:-1])][: len(u)]
-                    u, v = u[best], v[best]
+                    first_of = lambda x: np.unique(x[np.lexsort((far, x))], return_index=True)[1]
+                    pick = np.unique(np.concatenate([np.lexsort((far, x))[first_of(x)] for x in (u, v)]))
+                    u, v = u[pick], v[pick]
                 found.append(np.stack([node[i:end][u], node[j:last][v]], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
@@ -426,11 +425,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     labels = components(links)
     rest = found.where("kind = 1").select("a", "b").distinct()
     known = first
-    for every in (False, True):  # the likeliest merge most components, so that few pairs are left
+    # each node's likeliest partner in another component merges most of them within a few rounds, so that few pairs
+    # are left for the last round, which takes all
+    rounds = [False, False, False, True]
+    while rounds:
+        every = rounds.pop(0)
         more = materialise(across(rest, known, labels, info, threshold, every), "jaccard-pairs")
-        if more.limit(1).count():
+        new = materialise(verify(own, nodes, more, k, threshold), "jaccard-links") if more.limit(1).count() else None
+        if new is not None:
             known = known.unionByName(more)
-            labels = merged(labels, materialise(verify(own, nodes, more, k, threshold), "jaccard-links"))
+        if new is not None and new.limit(1).count():
+            labels = merged(labels, new)
+        else:
+            rounds = [True] if not every else []
     placed = nodes.join(labels, F.col("node") == F.col("v"), "left").select("id_", "n", F.coalesce("c", "node").alias("c"))
     least = placed.where("c IS NOT NULL").groupBy("c").agg(F.min("id_").alias("least_"))
     return placed.join(least, "c", "left").select(F.col("id_").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least_", "id_").alias("component_id"))
