@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm import decontaminate, jaccard, mixing, suffix, toxicity
+from repolens.llm.common import id_of, materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,32 +15,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a toxicity score under the cut. Labels held out in op3 are not learned from here either."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
     labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
     scorer = toxicity.learn(docs.where(~toxicity.held_out()), labels)
-    scored = toxicity.score(docs.withColumnRenamed("score", "score_") if "score" in rest else docs, scorer, keep=tuple("score_" if c == "score" else c for c in rest))
-    return scored.where(F.col("score") < toxicity.CUT).drop("score").withColumnRenamed("score_", "score").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_"))
+    return toxicity.score(rows, scorer, keep=("whole_",)).where(F.col("score") < toxicity.CUT).select("whole_.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the least id stays."""
-    kept = jaccard.jaccard_components(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 200 that also start elsewhere go; documents of which only white space is left go, too."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = suffix.suffix_dedup(docs, with_text=True, keep=rest)
+    """Bytes in strings of 200 that also start elsewhere go; documents of which only white space is left go, too.
+    Documents that lose nothing stay as they are, null texts included."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.col("text").isNull().alias("blank_"), F.struct(F.lit(0), *rest).alias("rest_")).alias("extra_"))
+    out = suffix.suffix_dedup(rows, with_text=True, keep=("extra_",))
     out = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return out.select(*docs.columns)
+    made = {c: F.col("extra_")["rest_"][c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.when(~F.col("extra_")["blank_"], F.col("kept_text"))}
+    if "n_chars" in rest:
+        made["n_chars"] = F.when(F.col("n_removed") == 0, made["n_chars"]).otherwise(F.length("kept_text").cast("long"))
+    return out.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select(F.col("key_").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("key_").alias("id_")).distinct()
+    rows = docs.select(id_of("doc_id", "text").alias("id_"), F.struct(*docs.columns).alias("whole_"))
+    return rows.join(found, "id_", "left_anti").select("whole_.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written and read again, as a stage's input is read more than once."""
-    from repolens.llm.common import materialise
-
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)

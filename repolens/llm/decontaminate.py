@@ -12,7 +12,7 @@
 
 Defined cases: null and empty texts have no passages; items without words are never found; equal items are all
 reported; a text shorter than a passage is one passage; repeated rows get equal results; an empty corpus gives no
-rows and an empty benchmark no leaks; extra columns are ignored.
+rows and an empty benchmark no leaks; extra columns are ignored; rows with a null id keep it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, lower_ascii, pieces, prefix_hash, span_hash, table, text_view, words
+from .common import NOT_ALNUM, id_of, lower_ascii, pieces, plain_id, prefix_hash, span_hash, table, text_view, words
 
 STRIDE = 32
 RANK = 160
@@ -243,9 +243,9 @@ def search(docs: DataFrame, q: Query, basis: np.ndarray, key: str, least_cosine:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", max_share: float = 0.02, least_cosine: float = 0.4, lcs_share: float = 0.6, answer_share: float = 0.5) -> DataFrame:
-    """key_, item_id, cosine, lcs: every item (item_id, text) found in a document, with its best passage."""
+    """key_ (as from id_of), item_id, cosine, lcs: every item (item_id, text) found in a document, with its best passage."""
     spark = docs.sparkSession
-    own = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("t_"))
+    own = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("t_"))
     total = benchmark.count()
     parts = max(1, -(-total // ITEMS))
     found = spark.createDataFrame([], "key_ long, item_id long, cosine double, lcs double")
@@ -266,8 +266,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """key, contaminated, item_ids (ascending), item_id (of the longest match), lcs, cosine: one row a row of docs."""
     hits = leaks(docs, benchmark, key, text, **options)
     hits = hits.groupBy("key_").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max(F.struct("lcs", "cosine", -F.col("item_id"))).alias("top_"))
-    out = docs.select(F.col(key).cast("long").alias("id_")).join(hits, F.col("id_") == F.col("key_"), "left")
-    return out.select(F.col("id_").alias(key), F.col("key_").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), (-F.col("top_.col3")).alias("item_id"), F.coalesce("top_.lcs", F.lit(0.0)).alias("lcs"), F.coalesce("top_.cosine", F.lit(0.0)).alias("cosine"))
+    out = docs.select(id_of(key, text).alias("id_")).join(hits, F.col("id_") == F.col("key_"), "left")
+    return out.select(plain_id(F.col("id_")).alias(key), F.col("key_").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), (-F.col("top_.col3")).alias("item_id"), F.coalesce("top_.lcs", F.lit(0.0)).alias("lcs"), F.coalesce("top_.cosine", F.lit(0.0)).alias("cosine"))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

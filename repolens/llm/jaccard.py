@@ -22,7 +22,8 @@ size thins the documents before the join that decides.
 
 Defined cases: null and blank texts have no set and link with nothing; a text of fewer words than a shingle is one
 shingle; equal ids and repeated rows fall into the same component; an empty table gives no rows; extra columns are
-ignored. Ids must not be null.
+ignored. Rows with a null id link like others, with equal texts as one; they name no component: it is null where no row
+of it has an id.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, mix, pieces, prefix_hash, span_hash, table, text_view, words
+from .common import id_of, lower_ascii, materialise, mix, pieces, plain_id, prefix_hash, span_hash, table, text_view, words
 from .spans import bytes_in
 
 WORDS = 5
@@ -413,9 +414,9 @@ def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """key, n_shingles, component_id: one row for each row of docs."""
-    own = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("body_"))
+def members(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """id_, n, least_: one row for each row of docs, with ids as from id_of."""
+    own = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("body_"))
     nodes = materialise(node_table(own, k), "jaccard-nodes")
     buckets, bands = max(16, -(-bytes_in(own, "body_") // BUCKET_BYTES)), Bands(nodes.count(), threshold)
     info = nodes.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -440,7 +441,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             rounds = [True] if not every else []
     placed = nodes.join(labels, F.col("node") == F.col("v"), "left").select("id_", "n", F.coalesce("c", "node").alias("c"))
     least = placed.where("c IS NOT NULL").groupBy("c").agg(F.min("id_").alias("least_"))
-    return placed.join(least, "c", "left").select(F.col("id_").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least_", "id_").alias("component_id"))
+    return placed.join(least, "c", "left").select("id_", "n", F.coalesce("least_", "id_").alias("least_"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """key, n_shingles, component_id: one row for each row of docs."""
+    return members(docs, key, text, k, threshold).select(plain_id(F.col("id_")).alias(key), F.col("n").alias("n_shingles"), plain_id(F.col("least_")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """docs with one row of each component, that of its least id."""
+    kept = members(docs, key, text, k, threshold).where("least_ = id_").select("id_")
+    rows = docs.select(id_of(key, text).alias("id_"), F.struct(*docs.columns).alias("whole_"))
+    return rows.join(kept, "id_", "left_semi").dropDuplicates(["id_"]).select("whole_.*")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

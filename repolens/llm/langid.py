@@ -10,7 +10,7 @@ from its whole text.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; so is every text if there is nothing to
 learn from; equal probabilities go to the language first in order; repeated rows get equal results; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; extra columns are ignored; a null id counts as no characters in held_out.
 """
 
 from __future__ import annotations
@@ -245,7 +245,7 @@ def predict(docs: DataFrame, tagger: ByteTagger | None, key: str, text: str, kee
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
     tagger = learn(docs.where(~F.col("held_out")), "text", "lang", "doc_id")
     return predict(docs, tagger, "doc_id", "text", ("held_out",))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_view
+from .common import id_of, plain_id, text_view
 
 
 def union_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +32,7 @@ def cut(docs: DataFrame, marks: DataFrame, to_spans, key: str = "doc_id", text:
     (start, end) arrays to remove. Returns key, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start, end
     in bytes of the original) and, on request, kept_text; one row for each row of docs, marked or not."""
     gathered = marks.groupBy(F.col("id_")).agg(F.collect_list("mark").alias("marks_"))
-    joined = docs.select(F.col(key).alias("key_"), F.col(text).alias("body_"), F.struct(F.lit(0).alias("z_"), *keep).alias("rest_")).join(gathered, F.col("key_") == F.col("id_"), "left").select("key_", "body_", "marks_", "rest_")
+    joined = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("body_"), F.struct(F.lit(0).alias("z_"), *keep).alias("rest_")).join(gathered, F.col("key_") == F.col("id_"), "left").select("key_", "body_", "marks_", "rest_")
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     fields = [("key_", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(span))]
     fields += [("kept_text", pa.string())] * with_text
@@ -62,4 +62,4 @@ def cut(docs: DataFrame, marks: DataFrame, to_spans, key: str = "doc_id", text:
 
     ddl = "key_ long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept_text string" * with_text
     ddl += f", rest_ {dict(joined.dtypes)['rest_']}"
-    return joined.mapInArrow(run, ddl).withColumnRenamed("key_", key).select(key, *schema.names[1:], *[F.col("rest_")[c].alias(c) for c in keep])
+    return joined.mapInArrow(run, ddl).select(plain_id(F.col("key_")).alias(key), *schema.names[1:], *[F.col("rest_")[c].alias(c) for c in keep])

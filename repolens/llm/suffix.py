@@ -18,7 +18,8 @@ One family for a whole corpus would be one task, so suffixes are dealt out so th
 4. Verdicts go back to the documents.
 
 Defined cases: null text is empty; documents under `length` bytes lose nothing; rows with equal ids count as one
-document; an empty table gives no rows; extra columns are ignored. Ids must not be null.
+document; an empty table gives no rows; extra columns are ignored; rows with a null id count as one document
+if their texts are equal, and keep their null id.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, materialise, pieces, prefix_hash, span_hash, table, text_view
+from .common import PIECE_BYTES, id_of, materialise, pieces, prefix_hash, span_hash, table, text_view
 from .spans import bytes_in, cut
 
 LENGTH = 200
@@ -304,7 +305,7 @@ def suffix_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, removed; kept_text on request; the columns in keep."""
-    own = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("body_"))
+    own = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("body_"))
     return cut(docs, suffix_marks(own, length, gram), to_spans(length), key, text, with_text, keep)
 
 

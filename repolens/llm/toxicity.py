@@ -10,7 +10,7 @@ voters and of further terms, and scores every document from its whole text.
 
 Defined cases: null text is scored like empty text; texts without any voter get the classifier's base score; without
 labelled rows the general insults alone decide; repeated rows get equal scores; rows without labels are scored like
-others; an empty table gives no rows; extra columns are ignored.
+others; an empty table gives no rows; extra columns are ignored; a null id counts as no characters in held_out.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import NOT_ALNUM, lower_ascii, mix, pieces, prefix_hash, span_hash, table, text_view, words
 
@@ -184,12 +185,11 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (key, *keep)], pa.array(scorer.score(data, off))], names=[key, *keep, "score"])
 
     d = docs.select(key, *keep, F.col(text).alias("t_"))
-    kinds = dict(d.dtypes)
-    return d.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep)) + ", score double")
+    return d.mapInArrow(run, StructType([*d.schema.fields[:-1], StructField("score", DoubleType())]))
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ digest has one entry a batch at most, however many documents hold it; entries tr
 follows the input.
 
 Defined cases: null text is empty; text without words has no units; rows with equal ids count as one document
-(equal rows are no repeats of each other); an empty table gives no rows; extra columns are ignored. Ids must not be null.
+(equal rows are no repeats of each other); an empty table gives no rows; extra columns are
+ignored. Rows with a null id stand last, and those with equal texts count as one document.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, pieces, powers, prefix_hash, span_hash, table, text_view, words
+from .common import id_of, lower_ascii, mix, pieces, powers, prefix_hash, span_hash, table, text_view, words
 from .spans import bytes_in, cut
 
 MIN_WORDS = 8
@@ -125,7 +126,7 @@ def unit_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", cut_eve
         ids, marks = _marks(np.concatenate(done))
         return pa.table({"id_": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.binary())})
 
-    packed = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("body_")).mapInArrow(emit, "bucket int, done boolean, blob binary")
+    packed = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("body_")).mapInArrow(emit, "bucket int, done boolean, blob binary")
     return packed.groupBy("bucket").applyInArrow(settle, "id_ long, mark binary")
 
 

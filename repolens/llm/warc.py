@@ -10,9 +10,11 @@ records are grouped by origin, ordered by segment number, joined and held agains
 framing is decoded, and the payload held against its digest.
 
 Defined cases: null payload is empty; payloads under `least_revisit` bytes are all responses; among equal payloads the
-largest id is the response; ties (rows with equal id and payload) are all responses if that id is the response's;
+largest id is the response; ties (rows with equal id and payload) are all responses if that id is the response's,
+and each is read back whole;
 a record whose segments are incomplete, out of length or of a wrong digest gives problem text and no payload; an
-empty table gives no archive records; extra columns are ignored. Ids must not be null.
+empty table gives no archive records; extra columns are ignored. A record without an id is
+named by its digest and read back with a null id; it revisits the largest id of its payload, if there is one.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     first = p.where(large).groupBy(F.col("payload_digest").alias("digest_")).agg(F.max("id").alias("origin_"), F.count(F.lit(1)).alias("copies_")).where("copies_ > 1")
     # only digests that occur again are joined
     p = p.join(first, large & (F.col("payload_digest") == F.col("digest_")), "left")
-    return p.withColumn("refers_to", F.when(F.col("origin_") != F.col("id"), F.col("origin_"))).drop("digest_", "origin_", "copies_")
+    return p.withColumn("refers_to", F.when(~F.col("origin_").eqNullSafe(F.col("id")), F.col("origin_"))).drop("digest_", "origin_", "copies_")
 
 
 def _record(kind: Column, fields: list[Column], block: Column) -> Column:
@@ -58,6 +60,7 @@ def records(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """One row a record: value (text of the record). pages as from revisits(). A segment holds as many code points as
     surely fit segment_bytes, so no code point is cut."""
     step = max(1, segment_bytes // 4)
+    own = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none-"), F.col("payload_digest")))
     date = F.lit("WARC-Date: 2024-01-01T00:00:00Z")
     target = F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("urn:none")), r"\s", "%20"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"))
@@ -68,10 +71,10 @@ def records(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     p = pages.withColumn("split_", split)
     revisit = _record(
         F.lit("revisit"),
-        [F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("id"))), date, target, digest, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), kind],
+        [F.concat(F.lit("WARC-Record-ID: "), record_id(own)), date, target, digest, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), kind],
         plain,
     )
-    whole = _record(F.lit("response"), [F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("id"))), date, target, digest, kind], F.concat(plain, F.col("payload")))
+    whole = _record(F.lit("response"), [F.concat(F.lit("WARC-Record-ID: "), record_id(own)), date, target, digest, kind], F.concat(plain, F.col("payload")))
     single = p.select(F.when(~F.col("split_"), F.when(F.col("refers_to").isNotNull(), revisit).otherwise(whole)).alias("value"), "*")
     # chunked framing over the whole payload, then cut
     n = F.length("payload")
@@ -86,10 +89,10 @@ def records(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     block = F.substring(F.col("framed_"), F.col("at_") * step + 1, F.lit(step))
     number = F.concat(F.lit("WARC-Segment-Number: "), F.col("at_") + 1)
     ends = F.when(F.col("at_") == F.col("last_"), F.concat(F.lit("WARC-Segment-Total-Length: "), F.octet_length("framed_")))
-    origin = _record(F.lit("response"), [F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("id"))), date, target, digest, number, kind], block)
-    rest = _record(F.lit("continuation"), [F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("id"), F.col("at_") + 1)), date, target, F.concat(F.lit("WARC-Segment-Origin-ID: "), record_id(F.col("id"))), number, ends], block)
+    origin = _record(F.lit("response"), [F.concat(F.lit("WARC-Record-ID: "), record_id(own)), date, target, digest, number, kind], block)
+    rest = _record(F.lit("continuation"), [F.concat(F.lit("WARC-Record-ID: "), record_id(own, F.col("at_") + 1)), date, target, F.concat(F.lit("WARC-Segment-Origin-ID: "), record_id(own)), number, ends], block)
     # a payload split into one segment only ends in its origin record, which then bears the total itself
-    origin_only = _record(F.lit("response"), [F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("id"))), date, target, digest, number, ends, kind], block)
+    origin_only = _record(F.lit("response"), [F.concat(F.lit("WARC-Record-ID: "), record_id(own)), date, target, digest, number, ends, kind], block)
     large = large.select(F.when(F.col("at_") > 0, rest).when(F.col("last_") == 0, origin_only).otherwise(origin).alias("value"))
     return single.where(~F.col("split_")).select("value").unionByName(large)
 
@@ -178,7 +181,12 @@ def _rejoin(batches):
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            parts = sorted(r["parts"], key=lambda x: x["number"])
+            parts = sorted(r["parts"], key=lambda x: (x["number"], x["block"]))
+            copies = sum(x["number"] == 1 for x in parts)
+            if copies > 1 and all(x == parts[i - i % copies] for i, x in enumerate(parts)):
+                parts = parts[::copies]  # repeated rows wrote equal segments
+            else:
+                copies = 1
             block = b"".join(x["block"] for x in parts)
             row = dict.fromkeys(kinds.names) | {"id": r["id"], "digest": r["digest"]}
             if [x["number"] for x in parts] != list(range(1, len(parts) + 1)) or r["total"] is None:
@@ -187,7 +195,7 @@ def _rejoin(batches):
                 row["problem"] = f"segments hold {len(block)} of {r['total']} bytes"
             else:
                 row |= _checked(block, r["digest"])
-            out.append(row)
+            out += [row] * copies
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
@@ -209,7 +217,7 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(pages, path)
     back = read_archives(spark, path, payload=False)
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
     back = back.select(page(F.col("id")).alias("page_id"), "type", page(F.col("refers_to")).alias("refers_to"), "digest", "bytes", "sha1", "problem")
     back = materialise(back, "warc-index")  # a short row a record; the archives are parsed once
     # a revisit's length and digest are those of the record it refers to
@@ -227,8 +235,8 @@ WITH p AS (
   SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS origin FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND origin <> page_id THEN origin END AS refers_to,
+  CASE WHEN payload_bytes >= 1000 AND origin IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND origin IS DISTINCT FROM page_id THEN origin END AS refers_to,
   CAST(NULL AS VARCHAR) AS problem
 FROM m
 """
