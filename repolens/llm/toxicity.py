@@ -30,6 +30,8 @@ TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 VOTERS, TERMS = 160, 400
 STEMS = (4, 5, 6, 7, 8)
 CUT = 0.3
+#: Texts are taken in pieces of about so many bytes: learning runs in the driver.
+PIECE = 1 << 19
 #: General insults, voters without any labels.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "bastard", "shut up", "dumb", "freak")
 
@@ -62,7 +64,7 @@ class Scorer:
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = np.zeros((len(offsets) - 1, len(self.terms)), bool)
-        for i, j in pieces(offsets):
+        for i, j in pieces(offsets, PIECE):
             docs, terms, _ = term_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             for d, t in zip(docs, terms, strict=True):
                 at = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
@@ -71,7 +73,7 @@ class Scorer:
         return x
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([x, np.log1p(x[:, self.voters].sum(1)), np.ones(len(x))]).astype(np.float64)
+        return np.column_stack([x, np.log1p(x[:, self.voters].sum(1)), np.ones(len(x))]).astype(np.float64, copy=False)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.design(self.features(data, offsets)) @ self.weights, -30, 30)))
@@ -108,6 +110,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12)
     return w
 
 
+def tally_of(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of the chosen documents, sorted, and in how many of them each occurs; of known terms only, if given."""
+    key, count = np.zeros(0, np.uint64), np.zeros(0)
+    for i, j in pieces(offsets, PIECE):
+        if not chosen[i:j].any():
+            continue
+        docs, terms, _ = term_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        take = [chosen[i + d] & (True if known is None else np.isin(t, known)) for d, t in zip(docs, terms, strict=True)]
+        d, t = (np.concatenate([x[m] for x, m in zip(xs, take, strict=True)]) for xs in (docs, terms))
+        own, at = np.unique(t, return_inverse=True)
+        pair = np.unique(at.astype(np.int64) * (j - i) + d)
+        n = np.bincount(pair // (j - i), minlength=len(own))
+        key, at = np.unique(np.r_[key, own], return_inverse=True)
+        count = np.bincount(at, weights=np.r_[count, n], minlength=len(key))
+    return key, count
+
+
 def fit(rows: pa.Table) -> Scorer:
     """rows: text, toxic."""
     y = np.array(rows["toxic"].to_pylist(), float)
@@ -118,7 +137,7 @@ def fit(rows: pa.Table) -> Scorer:
         return fixed
     # copies of one text share their least word hashes: one group, of which one document is counted
     group = np.arange(len(y), dtype=np.uint64)
-    for i, j in pieces(off):
+    for i, j in pieces(off, PIECE):
         docs, terms, count = term_rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
         h = mix(terms[0])
         order = np.lexsort((h, docs[0]))
@@ -133,19 +152,14 @@ def fit(rows: pa.Table) -> Scorer:
     _, one, group = np.unique(group * np.uint64(2) + (y > 0.5).astype(np.uint64), return_index=True, return_inverse=True)
     counted = np.zeros(len(y), bool)
     counted[one] = True
-    keys, tallies = [], []
-    for i, j in pieces(off):
-        docs, terms, _ = term_rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        d, t = np.concatenate(docs), np.concatenate(terms)
-        d, t = d[counted[i + d]], t[counted[i + d]]
-        k, at = np.unique(t, return_inverse=True)
-        pair = np.unique(at.astype(np.int64) * (j - i) + d)
-        toxic = y[i + pair % (j - i)] > 0.5
-        keys.append(k)
-        tallies.append(np.stack([np.bincount(pair[m] // (j - i), minlength=len(k)) for m in (~toxic, toxic)]))
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    tally = [np.bincount(at, weights=np.concatenate([x[label] for x in tallies]), minlength=len(key)) for label in (0, 1)]
     n1, n0 = len(np.unique(group[y == 1])), len(np.unique(group[y == 0]))
+    # only terms of enough toxic documents can be chosen, so clean documents are searched for those alone
+    key, toxic = tally_of(data, off, counted & (y > 0.5))
+    often = toxic >= max(3, 0.01 * n1)
+    key, toxic = key[often], toxic[often]
+    seen, clean = tally_of(data, off, counted & (y <= 0.5), key)
+    tally = [np.zeros(len(key)), toxic]
+    tally[0][np.searchsorted(key, seen)] = clean
     p1, p0 = (tally[1] + 0.5) / (n1 + 1), (tally[0] + 0.5) / (n0 + 1)
     lift = np.log(p1 / p0)
     # signed root of the likelihood ratio: favours terms that are both frequent and telling
