@@ -6,7 +6,9 @@
    benchmark's terms, and the benchmark's own passages, weighted as heavily as the corpus. One pass makes A'(A G) for
    a random G in partial sums by term; its orthonormal basis Q spans the latent space (one power iteration included).
 3. *Candidates.* Every passage of the corpus is projected and held against every item (a stated query set, in blocks
-   of `ITEMS`) by cosine; the passage's length counts in full, also outside of the latent space.
+   of `ITEMS`) by cosine; the passage's length counts in full, also outside of the latent space. A space of low rank
+   loses items, the more of them the larger the benchmark, so a bound adds what the cosine leaves out: a passage that
+   can pass the check below holds at least `least` of the item's rarest words. This bound misses no leak.
 4. *Checks.* A candidate is a leak if the longest common subsequence of the item's words with the passage (and half a
    block around it) holds `lcs_share` of the item, and half of the item's answer (its last quarter) among them.
 
@@ -55,8 +57,8 @@ class Query:
                 self.words.append(part)
         self.terms = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
 
-    def weigh(self, df: np.ndarray, blocks: int, max_share: float) -> None:
-        """Keeps the telling terms; sets idf (0: left out) and masks for the subsequence check."""
+    def weigh(self, df: np.ndarray, blocks: int, max_share: float, lcs_share: float) -> None:
+        """Keeps the telling terms; sets idf (0: left out), masks for the subsequence check and the rare words."""
         self.idf = np.log((blocks + 1) / (df + 1)) + 1e-3
         keep = df <= max(2.0, max_share * blocks)
         for w in self.words:
@@ -71,6 +73,25 @@ class Query:
             self.masks.append(mask)
             n = max(min(3, len(w)), math.ceil(len(w) / 4))
             self.answers.append(((1 << n) - 1) << (len(w) - n))
+        self.index_rare(df, lcs_share)
+
+    def index_rare(self, df: np.ndarray, lcs_share: float) -> None:
+        """The rarest places of each passage, by term: (passage, how often). A subsequence of `need` places leaves out
+        len - need of all places, so of any `rare` places it takes rare - (len - need) = `least`."""
+        term, passage, times, self.least = [], [], [], np.zeros(len(self.words), np.int64)
+        for i, w in enumerate(self.words):
+            need = max(1, math.ceil(lcs_share * len(w)))
+            self.least[i] = (need + 1) // 2
+            t = np.searchsorted(self.terms, w)
+            rare = t[np.argsort(df[t], kind="stable")[: len(w) - need + self.least[i]]]
+            t, n = np.unique(rare, return_counts=True)
+            term.append(t)
+            passage.append(np.full(len(t), i))
+            times.append(n)
+        term = np.concatenate(term)
+        order = np.argsort(term, kind="stable")
+        self.rare = np.concatenate(passage)[order], np.concatenate(times)[order]
+        self.rare_at = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
 
     def rows(self) -> np.ndarray:
         """Dense unit rows: passage x term."""
@@ -115,6 +136,33 @@ def passages(h: np.ndarray, first: np.ndarray, terms: np.ndarray, idf: np.ndarra
     return p, t, ((1 + np.log(n)) * idf[t]).astype(np.float32)
 
 
+def rare_matches(h: np.ndarray, first: np.ndarray, q: Query) -> tuple[np.ndarray, np.ndarray]:
+    """(passage of the text, passage of the benchmark) wherever the four blocks that cover a passage's window hold
+    enough of the rare words; sorted."""
+    n_terms, n_items, (item, times) = len(q.terms), len(q.words), q.rare
+    at = np.minimum(np.searchsorted(q.terms, h), n_terms - 1)
+    place = np.flatnonzero((q.terms[at] == h) & (q.rare_at[at + 1] > q.rare_at[at]))
+    doc = np.searchsorted(first, place, side="right") - 1
+    start = blocks_of(first)
+    key, n = np.unique((start[doc] + (place - first[doc]) // STRIDE) * n_terms + at[place], return_counts=True)
+    block, t = key // n_terms, key % n_terms
+    step, found = max(32, (1 << 18) // n_items), []
+    for a in range(0, int(start[-1]), step):
+        i, j = np.searchsorted(block, (a - 1, a + step + 2))
+        if i == j:
+            continue
+        many = q.rare_at[t[i:j] + 1] - q.rare_at[t[i:j]]
+        entry = np.arange(many.sum()) + np.repeat(q.rare_at[t[i:j]] - np.cumsum(many) + many, many)
+        cell = np.repeat((block[i:j] - a + 1) * n_items, many) + item[entry]
+        held = np.bincount(cell, np.minimum(np.repeat(n[i:j], many), times[entry]), (step + 3) * n_items).reshape(-1, n_items)
+        b, c = np.nonzero(held[:-3] + held[1:-2] + held[2:-1] + held[3:] >= q.least)
+        found.append((b + a, c))
+    b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+    d = np.searchsorted(start, b, side="right") - 1
+    whole = (d < len(start) - 1) & (b <= np.maximum(start[np.minimum(d + 1, len(start) - 1)] - 2, start[d]))
+    return b[whole], c[whole]
+
+
 def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
 
@@ -218,24 +266,34 @@ def search(docs: DataFrame, q: Query, basis: np.ndarray, key: str, least_cosine:
             for i, j in pieces(off):
                 h, first = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 start = blocks_of(first)
+
+                def check(block: int, c: int, cosine: float) -> None:
+                    d = int(np.searchsorted(start, block, side="right")) - 1
+                    begin = first[d] + (block - start[d]) * STRIDE
+                    window = h[max(first[d], begin - STRIDE // 2) : min(first[d + 1], begin + 2 * STRIDE + STRIDE // 2)].tolist()
+                    n = len(q.words[c])
+                    bits = common_subsequence(q.masks[c], n, window)
+                    if bits.bit_count() >= lcs_share * n and (bits & q.answers[c]).bit_count() >= answer_share * q.answers[c].bit_count():
+                        out.append((ids[i + d], q.item[c], cosine, bits.bit_count() / n))
+
+                near, near_c = rare_matches(h, first, q)
                 p, t, w = passages(h, first, q.terms, q.idf)
-                if len(p) == 0:
-                    continue
                 head = _heads(p)
-                norm = np.sqrt(np.add.reduceat(w * w, head))
+                at = np.searchsorted(p[head], near)
+                blank = np.r_[p[head], -1][at] != near
+                for block, c in zip(near[blank].tolist(), near_c[blank].tolist(), strict=True):
+                    check(block, c, 0.0)
+                at, near_c = at[~blank], near_c[~blank]
+                norm = np.sqrt(np.add.reduceat(w * w, head)) if len(p) else w
                 for a in range(0, len(head), 4096):
                     lo, hi = head[a], head[a + 4096] if a + 4096 < len(head) else len(p)
                     x = np.add.reduceat(w[lo:hi, None] * basis[t[lo:hi]], head[a : a + 4096] - lo) / norm[a : a + 4096, None]
                     cos = x @ unit.T
-                    for r, c in zip(*np.nonzero(cos >= least_cosine), strict=True):
-                        block = int(p[head[a + r]])
-                        d = int(np.searchsorted(start, block, side="right")) - 1
-                        begin = first[d] + (block - start[d]) * STRIDE
-                        window = h[max(first[d], begin - STRIDE // 2) : min(first[d + 1], begin + 2 * STRIDE + STRIDE // 2)].tolist()
-                        n = len(q.words[c])
-                        bits = common_subsequence(q.masks[c], n, window)
-                        if bits.bit_count() >= lcs_share * n and (bits & q.answers[c]).bit_count() >= answer_share * q.answers[c].bit_count():
-                            out.append((ids[i + d], q.item[c], float(cos[r, c]), bits.bit_count() / n))
+                    close = cos >= least_cosine
+                    mine = slice(*np.searchsorted(at, (a, a + 4096)))
+                    close[at[mine] - a, near_c[mine]] = True
+                    for r, c in zip(*np.nonzero(close), strict=True):
+                        check(int(p[head[a + r]]), c, float(cos[r, c]))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["key_", "item_id", "cosine", "lcs"])
 
@@ -255,7 +313,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         if len(q.words) == 0:
             continue
         df, blocks = term_counts(own, q)
-        q.weigh(df, blocks, max_share)
+        q.weigh(df, blocks, max_share, lcs_share)
         basis = latent_basis(own, q)
         hits = search(own, q, basis, key, least_cosine, lcs_share, answer_share)
         found = hits if part == 0 else found.unionByName(hits)

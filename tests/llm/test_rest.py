@@ -208,6 +208,45 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs(spark, []), b).count() == 0
 
 
+def all_leaks(texts, items, lcs_share=0.6, answer_share=0.5):
+    """Brute force: every passage's window against every passage of the benchmark."""
+    q = decontaminate.Query(pa.table({"item_id": list(range(len(items))), "text": items}))
+    q.weigh(decontaminate.np.zeros(len(q.terms), int), 1, 1.0, lcs_share)
+    h, first = decontaminate.tokens(*decontaminate.text_view(pa.array(texts)))
+    found = set()
+    for d in range(len(texts)):
+        own = h[first[d] : first[d + 1]].tolist()
+        for at in range(0, max(1, len(own) - 32), 32):
+            window = own[max(0, at - 16) : at + 80]
+            for c, w in enumerate(q.words):
+                bits = decontaminate.common_subsequence(q.masks[c], len(w), window)
+                if bits.bit_count() >= lcs_share * len(w) and (bits & q.answers[c]).bit_count() >= answer_share * q.answers[c].bit_count():
+                    found.add((d, q.item[c]))
+    return found
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_decontamination_with_many_items(spark, n):
+    r = random.Random(n)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    prose = lambda k: [vocabulary[int(3000 * r.random() ** 2)] for _ in range(k)]
+    items = [prose(r.randint(15, 71)) for _ in range(n)]
+    texts, planted = [], set()
+    for d in range(60):
+        w = prose(r.randint(0, 90))
+        if d % 6:
+            i = r.randrange(n)
+            copy = [x if d % 6 < 4 or r.random() < 0.8 else "other" for x in items[i]]
+            w[(at := r.randint(0, len(w))) : at] = copy
+            planted |= {(d, i)} if d % 6 < 4 else set()
+        texts.append(" ".join(w))
+    items = [" ".join(x) for x in items]
+    want = all_leaks(texts, items)
+    texts += [" ".join(prose(r.randint(100, 200))) for _ in range(1500)]  # draw the latent space away from the items
+    got = {(x.key_, x.item_id) for x in decontaminate.leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert planted <= got and {x for x in got if x[0] < 60} == want
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
