@@ -4,8 +4,9 @@ A text is cut into units: lines, cut further after sentence ends and, so that pa
 at word pairs chosen by their hash (one in `cut_every`). A unit is normalised (ASCII lower case, white space dropped
 to single gaps) and hashed to 128 bits. Over the whole table each digest's earliest occurrence, by (id, place), is
 kept; every other occurrence is a repeat. Runs of consecutive repeats with at least `min_words` words together are
-removed, so that a short sentence that recurs by chance stays where its neighbours are new. Removed runs are reported
-as byte offsets of the original.
+removed, so that a short sentence that recurs by chance stays where its neighbours are new. A whole line is removed
+wherever it repeats a whole line: one of fewer words is a unit of its own besides, which only matches such lines (of a
+longer one all units repeat). Removed runs are reported as byte offsets of the original.
 
 Each Arrow batch keeps only the first occurrence of a digest for the exchange and marks the rest at once, so a
 digest has one entry a batch at most, however many documents hold it; entries travel in packed buckets whose number
@@ -31,11 +32,14 @@ CUT_EVERY = 24
 BUCKET_BYTES = 4 << 20
 
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("place", "<i4"), ("start", "<i4"), ("end", "<i4"), ("words", "<i4")])
+#: A whole line under min_words has its digest under another key and 0 words, here and in marks.
+LINE = np.uint64(0xA0761D6478BD642F)
 MARK = np.dtype([("place", "<i4"), ("start", "<i4"), ("end", "<i4"), ("words", "<i4")])
 
 
-def units(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, cut_every: int = CUT_EVERY) -> np.ndarray:
-    """ENTRY rows of all units, in order; start and end are bytes within their document."""
+def units(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, cut_every: int = CUT_EVERY, min_words: int = MIN_WORDS) -> np.ndarray:
+    """ENTRY rows of all units, in order, and of whole lines under min_words; start and end are bytes within their
+    document. A line's place is that of its first unit."""
     starts, ends, first = words(data, offsets)
     if len(starts) == 0:
         return np.zeros(0, ENTRY)
@@ -45,10 +49,15 @@ def units(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, cut_every: int
     pair = np.r_[mix(h[:-1] + h[1:] * np.uint64(3)), np.uint64(1)]
     last = data[ends - 1]
     close = (last == 46) | (last == 33) | (last == 63) | (pair % np.uint64(cut_every) == 0)
-    close[:-1] |= (lines[ends[:-1]] != lines[starts[1:]]) | (doc[:-1] != doc[1:])
-    close[-1] = True
-    stop = np.flatnonzero(close) + 1
+    line = np.r_[(lines[ends[:-1]] != lines[starts[1:]]) | (doc[:-1] != doc[1:]), True]
+    stop = np.flatnonzero(close | line) + 1
     begin = np.r_[0, stop[:-1]]
+    line_stop = np.flatnonzero(line) + 1
+    line_begin = np.r_[0, line_stop[:-1]]
+    short = line_stop - line_begin < min_words
+    line_stop, line_begin, n = line_stop[short], line_begin[short], len(begin)
+    first_unit = np.searchsorted(begin, line_begin)
+    begin, stop = np.r_[begin, line_begin], np.r_[stop, line_stop]
     up, _ = powers(len(h) + 1)
     out = np.zeros(len(begin), ENTRY)
     for name, x in (("a", h), ("b", mix(h ^ np.uint64(0xD6E8FEB86659FD93)))):
@@ -57,8 +66,10 @@ def units(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, cut_every: int
     d = doc[begin]
     out["id"], out["words"] = ids[d], stop - begin
     out["start"], out["end"] = starts[begin] - offsets[d], ends[stop - 1] - offsets[d]
-    at = np.arange(len(begin))
-    out["place"] = at - np.maximum.accumulate(np.where(np.r_[True, d[1:] != d[:-1]], at, 0))
+    out["a"][n:], out["b"][n:], out["words"][n:] = mix(out["a"][n:] ^ LINE), mix(out["b"][n:] ^ LINE), 0
+    at, d = np.arange(n), d[:n]
+    out["place"][:n] = at - np.maximum.accumulate(np.where(np.r_[True, d[1:] != d[:-1]], at, 0))
+    out["place"][n:] = out["place"][first_unit]
     return out
 
 
@@ -86,16 +97,19 @@ def _marks(e: np.ndarray):
 def to_spans(min_words: int):
     def spans(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         m = np.unique(np.concatenate([np.frombuffer(x, MARK) for x in marks]))
+        lines, m = m[m["words"] == 0], m[m["words"] > 0]
+        if len(m) == 0:
+            return lines["start"].astype(np.int64), lines["end"].astype(np.int64)
         run = np.cumsum(np.r_[True, m["place"][1:] != m["place"][:-1] + 1]) - 1
         first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         last = np.r_[first[1:], len(m)] - 1
         keep = np.add.reduceat(m["words"], first) >= min_words
-        return m["start"][first][keep].astype(np.int64), m["end"][last][keep].astype(np.int64)
+        return np.r_[m["start"][first][keep], lines["start"]].astype(np.int64), np.r_[m["end"][last][keep], lines["end"]].astype(np.int64)
 
     return spans
 
 
-def unit_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", cut_every: int = CUT_EVERY) -> DataFrame:
+def unit_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", cut_every: int = CUT_EVERY, min_words: int = MIN_WORDS) -> DataFrame:
     """id_, mark: the repeated units of each document."""
     buckets = max(16, -(-bytes_in(docs, text) // BUCKET_BYTES))
 
@@ -104,7 +118,7 @@ def unit_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", cut_eve
         for batch in batches:
             data, off = text_view(batch.column("body_"))
             ids = batch.column("key_").to_numpy(zero_copy_only=False).astype(np.int64)
-            found = [units(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], cut_every) for i, j in pieces(off)]
+            found = [units(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], cut_every, min_words) for i, j in pieces(off)]
             e = np.concatenate(found) if found else np.zeros(0, ENTRY)
             if len(e) == 0:
                 continue
@@ -132,7 +146,7 @@ def unit_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", cut_eve
 
 def unit_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, cut_every: int = CUT_EVERY, with_text: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, removed, and kept_text on request."""
-    return cut(docs, unit_marks(docs, key, text, cut_every), to_spans(min_words), key, text, with_text)
+    return cut(docs, unit_marks(docs, key, text, cut_every, min_words), to_spans(min_words), key, text, with_text)
 
 
 def op1_unit_dedup(spark, sf_dir: str) -> DataFrame:

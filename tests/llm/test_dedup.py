@@ -102,3 +102,33 @@ def test_unit_dedup_keeps_the_earliest(spark):
     assert found[2].kept_text == "Another beginning of it.  Its end."
     assert found[2].kept_sha256 == hashlib.sha256(found[2].kept_text.encode()).hexdigest()
     assert found[4].n_bytes == found[5].n_bytes == 0
+
+
+def test_unit_dedup_removes_whole_lines_of_any_length(spark):
+    rows = [
+        (1, "Own words of one.\nAll rights reserved.\nYes. No.\n}\nMore own words here.", None, ""),
+        (2, "Own words of two.\r\n  ALL rights\treserved. \r\nOther own words here.\n}\n}", None, ""),
+        (3, "All rights reserved. It goes on in this line.\nYes. No.\nYes.\nNo. And on.", None, ""),
+        (4, "All rights reserved.", None, ""),
+    ]
+    found = {r.doc_id: r for r in units.unit_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), with_text=True).collect()}
+    assert found[1].n_removed == 0
+    assert found[2].kept_text == "Own words of two.\r\n   \r\nOther own words here.\n\n"
+    assert found[3].kept_text == "All rights reserved. It goes on in this line.\n\nYes.\nNo. And on."
+    assert found[4].kept_text == ""
+
+
+def test_unit_dedup_leaves_no_repeated_line(spark):
+    r = random.Random(8)
+    line = lambda: " ".join(r.choice("ab") + r.choice(["", ".", "c"]) for _ in range(r.randint(1, 12)))
+    rows = [(i, "\n".join(line() for _ in range(r.randint(0, 12))), None, "") for i in range(80)]
+    seen, again = set(), set()
+    for i, text, *_ in rows:
+        at = 0
+        for x in text.split("\n"):
+            if x in seen:
+                again.add((i, at, at + len(x)))
+            seen.add(x)
+            at += len(x) + 1
+    gone = {x.doc_id: [(s.start, s.end) for s in x.removed] for x in units.unit_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert again and all(any(s <= a and b <= e for s, e in gone[i]) for i, a, b in again if b > a)
