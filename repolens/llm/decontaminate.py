@@ -1,7 +1,8 @@
 """Operator 8: benchmark decontamination by latent semantic retrieval.
 
 1. *Statistics.* In how many blocks of `STRIDE` words, over the whole corpus, each term of the benchmark occurs.
-   Terms in more than `max_share` of all blocks say nothing and are left out (an item keeps its three rarest).
+   Terms in more than `max_share` of all blocks say little and are left out. An item that would lose over half of its
+   terms so, as one that is copied widely does, keeps them all with their low weights; any keeps its three rarest.
 2. *Distributed randomised SVD.* The rows of A are TF-IDF passages (two neighbouring blocks) of the corpus, over the
    benchmark's terms, and the benchmark's own passages, weighted as heavily as the corpus. One pass makes A'(A G) for
    a random G in partial sums by term; its orthonormal basis Q spans the latent space (one power iteration included).
@@ -60,10 +61,11 @@ class Query:
     def weigh(self, df: np.ndarray, blocks: int, max_share: float, lcs_share: float) -> None:
         """Keeps the telling terms; sets idf (0: left out), masks for the subsequence check and the rare words."""
         self.idf = np.log((blocks + 1) / (df + 1)) + 1e-3
-        keep = df <= max(2.0, max_share * blocks)
+        telling = df <= max(2.0, max_share * blocks)
+        keep = telling.copy()
         for w in self.words:
             t = np.unique(np.searchsorted(self.terms, w))
-            keep[t[np.argsort(df[t], kind="stable")[:3]]] = True
+            keep[t if telling[t].mean() < 0.5 else t[np.argsort(df[t], kind="stable")[:3]]] = True
         self.idf[~keep] = 0
         self.masks, self.answers = [], []
         for w in self.words:

@@ -247,6 +247,29 @@ def test_decontamination_with_many_items(spark, n):
     assert planted <= got and {x for x in got if x[0] < 60} == want
 
 
+def test_decontamination_of_an_item_in_a_third_of_all_rows(spark):
+    r = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    prose = lambda k: [vocabulary[int(3000 * r.random() ** 2)] for _ in range(k)]
+    items = [prose(r.randint(15, 59)) for _ in range(200)]
+    items[7] = prose(59)
+    texts = []
+    for d in range(900):
+        w = prose(r.randint(0, 200))
+        if d % 3 == 0:
+            w[(at := r.randint(0, len(w))) : at] = items[7]
+        texts.append(" ".join(w))
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {x.key_: x.cosine for x in decontaminate.leaks(docs(spark, texts), b).where("item_id = 7").collect()}
+    assert set(got) == set(range(0, 900, 3))
+    q = decontaminate.Query(pa.table({"item_id": list(range(200)), "text": [" ".join(x) for x in items]}))
+    mine = [decontaminate.np.searchsorted(q.terms, w) for w, i in zip(q.words, q.item, strict=True) if i == 7][0]
+    df = decontaminate.np.ones(len(q.terms), int)
+    df[mine] = 300
+    q.weigh(df, 900, 0.02, 0.6)
+    assert (q.idf[mine] > 0).all()
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
