@@ -55,6 +55,31 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Columns of row_key.
+ROW_KEY = ("k1_", "k2_")
+
+
+def row_key(key: str, text: str) -> list[Column]:
+    """Two longs that name a document: its id, and 63 bits of its text's hash with the sign for rows without an id, whose
+    first long is another hash of the text. So any id will do, rows of one id and different texts are different documents,
+    and rows of equal id (or none) and equal texts are one."""
+    own, h = F.col(key).cast("long"), F.xxhash64(text, F.lit(1)).bitwiseAND(F.lit((1 << 63) - 1))
+    return [F.coalesce(own, F.xxhash64(text, F.lit(2))).alias("k1_"), F.when(own.isNull(), h.bitwiseOR(F.lit(-(1 << 63)))).otherwise(h).alias("k2_")]
+
+
+def longs(batch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def by_bucket(entries: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The buckets that occur, and the packed entries of each, in the order given. No array grows with the number of
+    buckets."""
+    order = np.argsort(bucket, kind="stable")
+    entries, bucket = entries[order], bucket[order]
+    head = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+    return bucket[head], [entries[i:j].tobytes() for i, j in zip(head, np.r_[head[1:], len(entries)], strict=True)]
+
+
 #: Rows without an id get one from here on, by their text; ids of tables lie below.
 NO_ID = 1 << 62
 

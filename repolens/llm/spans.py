@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, plain_id, text_view
+from .common import ROW_KEY, row_key, text_view
 
 
 def union_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,13 +28,14 @@ def bytes_in(docs: DataFrame, text: str = "text") -> int:
 
 
 def cut(docs: DataFrame, marks: DataFrame, to_spans, key: str = "doc_id", text: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs: key, text, and the columns to keep. marks: key, mark (binary), any number of rows a document. to_spans(list of marks) gives the
+    """docs: key, text, and the columns to keep. marks: k1_, k2_ (as from row_key), mark (binary), any number of rows a document. to_spans(list of marks) gives the
     (start, end) arrays to remove. Returns key, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start, end
     in bytes of the original) and, on request, kept_text; one row for each row of docs, marked or not."""
-    gathered = marks.groupBy(F.col("id_")).agg(F.collect_list("mark").alias("marks_"))
-    joined = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("body_"), F.struct(F.lit(0).alias("z_"), *keep).alias("rest_")).join(gathered, F.col("key_") == F.col("id_"), "left").select("key_", "body_", "marks_", "rest_")
+    gathered = marks.groupBy(*ROW_KEY).agg(F.collect_list("mark").alias("marks_"))
+    rest = F.struct(F.col(key).alias("own_"), *[F.col(c).alias(f"c{i}_") for i, c in enumerate(keep)])
+    joined = docs.select(*row_key(key, text), F.col(text).alias("body_"), rest.alias("rest_")).join(gathered, list(ROW_KEY), "left").select("body_", "marks_", "rest_")
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    fields = [("key_", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(span))]
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(span))]
     fields += [("kept_text", pa.string())] * with_text
     schema = pa.schema(fields)
 
@@ -56,10 +57,8 @@ def cut(docs: DataFrame, marks: DataFrame, to_spans, key: str = "doc_id", text:
                 out["removed"].append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
                 if with_text:
                     out["kept_text"].append(kept.decode("utf-8", "ignore"))
-            out["key_"] = batch.column("key_")
-            made = [out[n] if n == "key_" else pa.array(out[n], t) for n, t in fields]
-            yield pa.RecordBatch.from_arrays([*made, batch.column("rest_")], names=[*schema.names, "rest_"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(out[n], t) for n, t in fields], batch.column("rest_")], names=[*schema.names, "rest_"])
 
-    ddl = "key_ long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept_text string" * with_text
+    ddl = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept_text string" * with_text
     ddl += f", rest_ {dict(joined.dtypes)['rest_']}"
-    return joined.mapInArrow(run, ddl).select(plain_id(F.col("key_")).alias(key), *schema.names[1:], *[F.col("rest_")[c].alias(c) for c in keep])
+    return joined.mapInArrow(run, ddl).select(F.col("rest_.own_").alias(key), *schema.names, *[F.col(f"rest_.c{i}_").alias(c) for i, c in enumerate(keep)])

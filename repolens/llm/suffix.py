@@ -9,7 +9,7 @@ One family for a whole corpus would be one task, so suffixes are dealt out so th
 
 1. Each window of `length` bytes names an anchor: of the `gram`-byte strings in it, the one of least hash (the leftmost
    of equals). Equal windows have the same anchor at the same offset, and neighbouring windows mostly share theirs, so
-   the windows of a document form runs. A run travels as 40 bytes: anchor hash, hash of its whole text, place. Copies
+   the windows of a document form runs. A run travels as 48 bytes: anchor hash, hash of its whole text, place. Copies
    of a run within an Arrow batch are settled at once and leave one entry.
 2. In an anchor's bucket, runs that occur twice are repeats as they stand; anchors with a single run are no repeats.
    What is left, runs whose anchor has several different texts, is compared suffix by suffix.
@@ -17,8 +17,8 @@ One family for a whole corpus would be one task, so suffixes are dealt out so th
    different runs, by anchor and the bytes to its right or left, whichever half of the window is the longer.
 4. Verdicts go back to the documents.
 
-Defined cases: null text is empty; documents under `length` bytes lose nothing; rows with equal ids count as one
-document; an empty table gives no rows; extra columns are ignored; rows with a null id count as one document
+Defined cases: null text is empty; documents under `length` bytes lose nothing; rows of equal id and text count as
+one document, rows of one id and different texts as two; an empty table gives no rows; extra columns are ignored; rows with a null id count as one document
 if their texts are equal, and keep their null id.
 """
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, id_of, materialise, pieces, prefix_hash, span_hash, table, text_view
+from .common import PIECE_BYTES, ROW_KEY, by_bucket, longs, materialise, pieces, prefix_hash, row_key, span_hash, table, text_view
 from .spans import bytes_in, cut
 
 LENGTH = 200
@@ -39,7 +39,7 @@ BUCKET_BYTES = 4 << 20
 #: Different runs of one anchor beyond which its suffixes are dealt out by their halves.
 MANY = 2000
 
-RUN = np.dtype([("anchor", "<u8"), ("text", "<u8"), ("id", "<i8"), ("start", "<i4"), ("windows", "<u2"), ("at", "<u2"), ("copies", "<u4")])
+RUN = np.dtype([("anchor", "<u8"), ("text", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("windows", "<u2"), ("at", "<u2"), ("copies", "<u4")])
 #: state: 1 the whole run repeats, 2 to be compared, 3 as 1 and also needed in comparisons; +4: dealt out by halves.
 MARK = np.dtype([("start", "<i4"), ("windows", "<u2"), ("at", "<u2"), ("state", "u1")])
 
@@ -99,17 +99,17 @@ def _least(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """RUN rows of the documents that lie in data; a document longer than PIECE_BYTES is taken in overlapping parts."""
+def runs(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """RUN rows of the documents that lie in data (keys: both longs of each); a document longer than PIECE_BYTES is taken in overlapping parts."""
     found = []
     for a in range(0, max(1, len(data) - length + 1), PIECE_BYTES):
         part = data[a : a + PIECE_BYTES + length - 1]
         if len(part) >= length:
-            found.append(_runs(part, a, offsets, ids, length, gram))
+            found.append(_runs(part, a, offsets, keys, length, gram))
     return np.concatenate(found) if found else np.zeros(0, RUN)
 
 
-def _runs(data, base, offsets, ids, length, gram):
+def _runs(data, base, offsets, keys, length, gram):
     prefix = prefix_hash(data)
     place = np.arange(len(data) - gram + 1)
     h = span_hash(prefix, place, place + gram)
@@ -127,36 +127,36 @@ def _runs(data, base, offsets, ids, length, gram):
     out = np.zeros(len(head), RUN)
     start, a, d = window[head], anchor[head], doc[head]
     out["anchor"], out["text"] = h[a], span_hash(prefix, start, window[last] + length)
-    out["id"], out["start"], out["windows"], out["at"], out["copies"] = ids[d], start + base - offsets[d], window[last] - start + 1, a - start, 1
+    (out["k1"], out["k2"]), out["start"], out["windows"], out["at"], out["copies"] = keys[d].T, start + base - offsets[d], window[last] - start + 1, a - start, 1
     return out
 
 
 def _grouped(r: np.ndarray):
-    """r sorted by (anchor, text, id, start), without rows that are the same occurrence, and the heads of equal runs."""
-    r = r[np.lexsort((r["start"], r["id"], r["text"], r["anchor"]))]
+    """r sorted by (anchor, text, key, start); the heads of anchors, of equal runs and of rows of one occurrence."""
+    r = r[np.lexsort((r["start"], r["k2"], r["k1"], r["text"], r["anchor"]))]
     new_anchor = np.r_[True, r["anchor"][1:] != r["anchor"][:-1]]
     new_run = new_anchor | np.r_[True, r["text"][1:] != r["text"][:-1]]
-    new = new_run | np.r_[True, (r["id"][1:] != r["id"][:-1]) | (r["start"][1:] != r["start"][:-1])]
+    new = new_run | np.r_[True, (r["k1"][1:] != r["k1"][:-1]) | (r["k2"][1:] != r["k2"][:-1]) | (r["start"][1:] != r["start"][:-1])]
     return r, new_anchor, new_run, new
 
 
 def _pack(r: np.ndarray, state: np.ndarray):
-    order = np.argsort(r["id"], kind="stable")
+    order = np.lexsort((r["k2"], r["k1"]))
     r, m = r[order], np.zeros(len(r), MARK)
     m["start"], m["windows"], m["at"], m["state"] = r["start"], r["windows"], r["at"], state[order]
-    at = np.flatnonzero(np.r_[True, r["id"][1:] != r["id"][:-1]]) if len(r) else np.zeros(0, int)
-    return pa.table({"id_": pa.array(r["id"][at], pa.int64()), "mark": pa.array([m[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(r)], strict=True)] if len(r) else [], pa.binary())})
+    at = np.flatnonzero(np.r_[True, (r["k1"][1:] != r["k1"][:-1]) | (r["k2"][1:] != r["k2"][:-1])]) if len(r) else np.zeros(0, int)
+    return pa.table({"k1_": pa.array(r["k1"][at], pa.int64()), "k2_": pa.array(r["k2"][at], pa.int64()), "mark": pa.array([m[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(r)], strict=True)] if len(r) else [], pa.binary())})
 
 
 def run_marks(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id_, mark: the runs of each document that repeat or must be compared."""
+    """k1_, k2_, mark: the runs of each document that repeat or must be compared."""
 
     def emit(batches):
         schema = pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), ("blob", pa.binary())])
         for batch in batches:
             data, off = text_view(batch.column("body_"))
-            ids = batch.column("key_").to_numpy(zero_copy_only=False).astype(np.int64)
-            found = [runs(data[off[i] : off[j]], off[i : j + 1] - off[i], ids[i:j], length, gram) for i, j in pieces(off)]
+            keys = np.stack(longs(batch, *ROW_KEY), 1)
+            found = [runs(data[off[i] : off[j]], off[i : j + 1] - off[i], keys[i:j], length, gram) for i, j in pieces(off)]
             r = np.concatenate(found) if found else np.zeros(0, RUN)
             if len(r) == 0:
                 continue
@@ -165,13 +165,10 @@ def run_marks(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = G
             group = np.cumsum(new_run) - 1
             count = np.bincount(group)
             again = ~new_run
-            rows = [(int(ids[0] % buckets), True, r[again].tobytes())] if again.any() else []
+            rows = [(int(keys[0, 0] % buckets), True, r[again].tobytes())] if again.any() else []
             r["copies"] = count[group]
             r = r[new_run]
-            b = (r["anchor"] % np.uint64(buckets)).astype(np.int64)
-            r = r[np.argsort(b, kind="stable")]
-            edges = np.r_[0, np.cumsum(np.bincount(b, minlength=buckets))]
-            rows += [(k, False, r[edges[k] : edges[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(edges))]
+            rows += [(k, False, blob) for k, blob in zip(*by_bucket(r, (r["anchor"] % np.uint64(buckets)).astype(np.int64)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows], pa.binary())], schema=schema)
 
     def settle(group: pa.Table) -> pa.Table:
@@ -191,11 +188,11 @@ def run_marks(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = G
             r, state = r[state > 0], state[state > 0]
         return _pack(np.concatenate([done, r]), np.r_[np.ones(len(done), np.uint8), state])
 
-    packed = docs.select(F.col("key_"), F.col("body_")).mapInArrow(emit, "bucket int, done boolean, blob binary")
-    return packed.groupBy("bucket").applyInArrow(settle, "id_ long, mark binary")
+    packed = docs.select(*ROW_KEY, "body_").mapInArrow(emit, "bucket int, done boolean, blob binary")
+    return packed.groupBy("bucket").applyInArrow(settle, "k1_ long, k2_ long, mark binary")
 
 
-TEXT = [("shard", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("needs", pa.bool_()), ("body", pa.binary())]
+TEXT = [("shard", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("needs", pa.bool_()), ("body", pa.binary())]
 
 
 def _texts(shards: int, length: int, gram: int):
@@ -207,7 +204,7 @@ def _texts(shards: int, length: int, gram: int):
         for batch in batches:
             data, off = text_view(batch.column("body_"))
             rows = {name: [] for name, _ in TEXT}
-            ids = batch.column("key_").to_pylist()
+            k1, k2 = (x.tolist() for x in longs(batch, *ROW_KEY))
             held = 0
             for i, marks in enumerate(batch.column("marks_").to_pylist()):
                 m = np.unique(np.concatenate([np.frombuffer(x, MARK) for x in marks]))
@@ -231,7 +228,8 @@ def _texts(shards: int, length: int, gram: int):
                             parts.append((int(start[j]) + f, n - f, int(anchor[j]) ^ xxhash.xxh3_64_intdigest(body[at[j] + gram : at[j] + gram + length - gram - half].tobytes(), seed=1)))
                     for s, n, k in parts:
                         rows["shard"].append(k % shards)
-                        rows["id"].append(ids[i])
+                        rows["k1"].append(k1[i])
+                        rows["k2"].append(k2[i])
                         rows["start"].append(s)
                         rows["windows"].append(n)
                         rows["needs"].append(bool(m["state"][j] & 3 == 2))
@@ -240,7 +238,7 @@ def _texts(shards: int, length: int, gram: int):
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pydict(rows, schema=schema)
                     rows, held = {name: [] for name, _ in TEXT}, 0
-            if rows["id"]:
+            if rows["k1"]:
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     return run
@@ -252,15 +250,16 @@ def _compare(length: int, batch_windows: int = 50_000):
     def run(group: pa.Table) -> pa.Table:
         # the same occurrence may stand in repeated rows
         group = group.combine_chunks()
-        ids, start, windows = (group[c].to_numpy().astype(np.int64) for c in ("id", "start", "windows"))
+        k1, k2, start, windows = (group[c].to_numpy().astype(np.int64) for c in ("k1", "k2", "start", "windows"))
         needs = group["needs"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((start, ids))
-        order = order[np.r_[True, (ids[order][1:] != ids[order][:-1]) | (start[order][1:] != start[order][:-1])]]
-        ids, start, windows, needs = ids[order], start[order], windows[order], needs[order]
+        order = np.lexsort((start, k2, k1))
+        k1, k2, start, windows, needs = k1[order], k2[order], start[order], windows[order], needs[order]
+        first = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (start[1:] != start[:-1])]
+        k1, k2, start, windows, needs, order = k1[first], k2[first], start[first], windows[first], needs[first], order[first]
         body = group["body"].take(pa.array(order))
         family = SuffixFamily(length)
         done, total = 0, np.cumsum(windows)
-        while done < len(ids):
+        while done < len(k1):
             stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + batch_windows, side="right")))
             data, off = text_view(body.slice(done, stop - done))
             n = windows[done:stop]
@@ -268,15 +267,15 @@ def _compare(length: int, batch_windows: int = 50_000):
             family.add(data, at)
             done = stop
         hit = family.repeated & np.repeat(needs, windows)
-        owner = np.repeat(np.arange(len(ids)), windows)
+        owner = np.repeat(np.arange(len(k1)), windows)
         place = np.arange(len(owner)) - np.repeat(total - windows, windows) + np.repeat(start, windows)
         owner, place = owner[hit], place[hit]
         if len(owner) == 0:
-            return pa.table({"id_": pa.array([], pa.int64()), "mark": pa.array([], pa.binary())})
+            return pa.table({"k1_": pa.array([], pa.int64()), "k2_": pa.array([], pa.int64()), "mark": pa.array([], pa.binary())})
         head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)])
         last = np.r_[head[1:], len(owner)] - 1
         r = np.zeros(len(head), RUN)
-        r["id"], r["start"], r["windows"] = ids[owner[head]], place[head], place[last] - place[head] + 1
+        r["k1"], r["k2"], r["start"], r["windows"] = k1[owner[head]], k2[owner[head]], place[head], place[last] - place[head] + 1
         return _pack(r, np.ones(len(r), np.uint8))
 
     return run
@@ -293,19 +292,19 @@ def to_spans(length: int):
 
 
 def suffix_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """id_, mark of the windows that repeat; docs: key_, body_."""
+    """k1_, k2_, mark of the windows that repeat; docs: k1_, k2_, body_."""
     buckets = max(16, -(-bytes_in(docs, "body_") // BUCKET_BYTES))
     marks = materialise(run_marks(docs, buckets, length, gram), "suffix-runs")
-    open_ = marks.groupBy("id_").agg(F.collect_list("mark").alias("marks_"))
-    texts = docs.join(open_, F.col("key_") == F.col("id_")).select("key_", "body_", "marks_")
-    texts = texts.mapInArrow(_texts(buckets, length, gram), "shard long, id long, start int, windows int, needs boolean, body binary")
-    verdicts = texts.groupBy("shard").applyInArrow(_compare(length), "id_ long, mark binary")
+    open_ = marks.groupBy(*ROW_KEY).agg(F.collect_list("mark").alias("marks_"))
+    texts = docs.join(open_, list(ROW_KEY)).select(*ROW_KEY, "body_", "marks_")
+    texts = texts.mapInArrow(_texts(buckets, length, gram), "shard long, k1 long, k2 long, start int, windows int, needs boolean, body binary")
+    verdicts = texts.groupBy("shard").applyInArrow(_compare(length), "k1_ long, k2_ long, mark binary")
     return marks.unionByName(verdicts)
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256, removed; kept_text on request; the columns in keep."""
-    own = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("body_"))
+    own = docs.select(*row_key(key, text), F.col(text).alias("body_"))
     return cut(docs, suffix_marks(own, length, gram), to_spans(length), key, text, with_text, keep)
 
 
