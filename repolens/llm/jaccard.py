@@ -6,24 +6,29 @@ graph. Two sets of r <= s shingles reach the threshold t only if their differenc
 *Size bands.* Pairs whose larger set lies in a band are sought in that band's key space, with the number of segments
 that its largest size asks for. A document joins the key space of its own band and, if its size allows, the next.
 
-*Pigeonhole.* Hash ranges divide the universe into segments. If segment i may differ by d_i (0, or 1 through the
-one-deletion neighbourhood) and the sum of (d_i + 1) exceeds the largest difference, some segment of a linked pair
-matches. `allocate` divides segments between d = 0 and d = 1 by expected cost: signatures written, and the chance
-that unlike documents meet. Bands with d = 0 get some spare segments, so that a pair shares more than one; documents
-with no more empty segments than that leave empty ones, which match too often, out of the index.
-
-*Candidates.* In a signature's group each node is paired with the least node only. Verified links merge nodes into
-components; then groups whose nodes still lie in several components get, for a few rounds of merging, each node's
-likeliest partner in another component and, last, all pairs across components that a bound from shingle counts lets
-through. So no group is expanded into all pairs, yet no component is missed.
+*Pigeonhole.* Hash ranges divide the universe into segments; what a set has in a segment is a subset of it that is
+indexed by its hash. If segment i may differ by d_i (0, or 1 through the one-deletion neighbourhood) and the sum of
+(d_i + 1) exceeds the largest difference, some segment of a linked pair matches. `allocate` divides segments between
+d = 0 and d = 1 by expected cost: signatures written, and the chance that unlike documents meet. Deletions multiply the
+signatures by a segment's size, so they pay for small sets, whose few segments would match too often. Bands with d = 0
+get some spare segments, so that a pair shares more than one; documents with no more empty segments than that leave
+empty ones, which match too often, out of the index.
+
+*Candidates.* The nodes of a signature's group are filed under the least of them and under their size, in classes of
+which linked nodes share one (`by_size`); once for a node, whatever the number of signatures. A hub's nodes are compared
+there twice, by counters (a lower bound of the difference) and, those that are left with a possible partner, by their
+full sets. Each time a block of nodes meets the hub's least node first; only nodes that this doesn't settle, far from it
+or not linked to it, meet all others, in pairs of blocks that are rows of their own (`under_hubs`). So copies cost a
+comparison each, no group is one task, and what a task returns is at most proportional to its nodes: links that span
+a component, not all of its pairs.
 
 *Verification* intersects the full sets. Texts are read again for nodes with candidates only; a Bloom filter of fixed
 size thins the documents before the join that decides.
 
 Defined cases: null and blank texts have no set and link with nothing; a text of fewer words than a shingle is one
-shingle; equal ids and repeated rows fall into the same component; an empty table gives no rows; extra columns are
-ignored. Rows with a null id link like others, with equal texts as one; they name no component: it is null where no row
-of it has an id.
+shingle; rows of one id and different texts are told apart; repeated rows fall into the same component; an empty table
+gives no rows; extra columns are ignored. Rows with a null id link like others; they name no component: it is null where
+no row of it has an id.
 """
 
 from __future__ import annotations
@@ -35,14 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, lower_ascii, materialise, mix, pieces, plain_id, prefix_hash, span_hash, table, text_view, words
-from .spans import bytes_in
+from .common import ROW_KEY, by_bucket, longs, lower_ascii, materialise, mix, pieces, prefix_hash, row_key, span_hash, table, text_view, words
 
 WORDS = 5
 THRESHOLD = 80  # per cent
 BUCKET_BYTES = 4 << 20
 BLOOM_BITS = 1 << 25
 SKETCH = 64
+#: Nodes of a hub that are compared in one task; more are dealt out in pairs of blocks.
+BLOCK = 512
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -178,40 +184,41 @@ ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("node", "<i8")])
 
 
 def _batches(batch, k: int):
-    """(ids, sets, at, nodes) of the pieces of an Arrow batch."""
+    """(first and last row, sets, at, nodes) of the pieces of an Arrow batch."""
     data, off = text_view(batch.column("body_"))
-    ids = batch.column("key_").to_numpy(zero_copy_only=False).astype(np.int64)
     for i, j in pieces(off):
         sets, at = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
-        yield ids[i:j], sets, at, nodes_of(sets, at)
+        yield i, j, sets, at, nodes_of(sets, at)
 
 
 def node_table(docs: DataFrame, k: int) -> DataFrame:
-    """id_, n, node, sketch (counts of a byte each: their distance is at most the sets' difference)."""
+    """own_, k1_, k2_, n, node, sketch (counts of a byte each: their distance is at most the sets' difference)."""
+    keys = ("own_", *ROW_KEY)
 
     def run(batches):
         for batch in batches:
-            for ids, sets, at, nodes in _batches(batch, k):
+            for i, j, sets, at, nodes in _batches(batch, k):
                 n = np.diff(at)
-                doc = np.repeat(np.arange(len(ids)), n)
+                doc = np.repeat(np.arange(j - i), n)
                 c = cells(n)
                 edge = np.r_[0, np.cumsum(c)]
                 cell = edge[doc] + (sets & (c[doc] - 1).astype(np.uint64)).astype(np.int64)
                 counts = np.minimum(np.bincount(cell, minlength=edge[-1]), 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(nodes, mask=n == 0), pa.array([counts[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["id_", "n", "node", "sketch"])
+                made = [pa.array(n), pa.array(nodes, mask=n == 0), pa.array([counts[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(x).slice(i, j - i) for x in keys], *made], names=[*keys, "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, "id_ long, n long, node long, sketch binary")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join(f"{x} {kinds[x]}" for x in keys) + ", n long, node long, sketch binary")
 
 
 def candidates(docs: DataFrame, buckets: int, bands: Bands, k: int) -> DataFrame:
-    """kind 0: (a, b) nodes that share a signature, a the least of its group; kind 1: (a, b) group number and node,
-    for groups of three nodes or more."""
+    """(hub, node): nodes that share a signature with the hub, the least node of its group; distinct within a bucket."""
 
     def emit(batches):
         schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
         for batch in batches:
             found = []
-            for _, sets, at, nodes in _batches(batch, k):
+            for _, _, sets, at, nodes in _batches(batch, k):
                 sig, owner = signatures(sets, at, bands)
                 e = np.zeros(len(sig), ENTRY)
                 e["low"], e["high"], e["node"] = sig & np.uint64(0xFFFFFFFF), sig >> np.uint64(32), nodes[owner]
@@ -219,14 +226,10 @@ def candidates(docs: DataFrame, buckets: int, bands: Bands, k: int) -> DataFrame
             e = np.concatenate(found) if found else np.zeros(0, ENTRY)
             if len(e) == 0:
                 continue
-            b = e["low"] % buckets
-            order = np.lexsort((e["node"], e["low"], b))
-            e, b = e[order], b[order]
-            new = np.r_[True, e[1:] != e[:-1]]  # copies within the batch
-            e, b = e[new], b[new]
-            edges = np.r_[0, np.cumsum(np.bincount(b, minlength=buckets))]
-            full = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([e[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary())], schema=schema)
+            e = e[np.lexsort((e["node"], e["low"]))]
+            e = e[np.r_[True, e[1:] != e[:-1]]]  # copies within the batch
+            full, blobs = by_bucket(e, e["low"] % buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
     def settle(group: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(x, ENTRY) for x in group["blob"].to_pylist()])
@@ -239,23 +242,13 @@ def candidates(docs: DataFrame, buckets: int, bands: Bands, k: int) -> DataFrame
         sig, node = sig[some], node[some]
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])][: len(sig)]
-        sig, node = sig[new], node[new]
-        if len(sig) == 0:
-            return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        size = np.diff(np.r_[head, len(sig)])
-        hub, member = np.repeat(node[head], size), np.ones(len(sig), bool)
-        member[head] = False
-        pairs = np.unique(np.stack([hub[member], node[member]], 1), axis=0)
-        number = (np.add.reduceat(mix(node.astype(np.uint64)), head) >> np.uint64(1)).astype(np.int64)
-        large = np.repeat(size > 2, size)
-        rest = np.unique(np.stack([np.repeat(number, size)[large], node[large]], 1), axis=0)
-        both = np.concatenate([pairs, rest])
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(pairs), np.int32), np.ones(len(rest), np.int32)]), "a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
+        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, int)
+        hub = np.repeat(node[head], np.diff(np.r_[head, len(sig)]))
+        pairs = np.unique(np.stack([hub, node], 1)[hub != node], axis=0)
+        return pa.table({"hub": pa.array(pairs[:, 0].copy()), "node": pa.array(pairs[:, 1].copy())})
 
     packed = docs.mapInArrow(emit, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(settle, "kind int, a long, b long")
+    return packed.groupBy("bucket").applyInArrow(settle, "hub long, node long")
 
 
 def cells(n: np.ndarray) -> np.ndarray:
@@ -269,70 +262,190 @@ def difference_bound(p: np.ndarray, q: np.ndarray) -> int:
     return int(np.abs(p.astype(np.int32).reshape(-1, c).sum(0) - q.astype(np.int32).reshape(-1, c).sum(0)).sum())
 
 
-def _counts(column) -> list[np.ndarray]:
-    data, off = text_view(column)
-    return [data[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
-
-
-def plausible(pairs: DataFrame, info: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that sizes and counts allow."""
-    one = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = (F.col("na") * 100 >= F.col("nb") * threshold) & (F.col("nb") * 100 >= F.col("na") * threshold)
-
-    def run(batches):
-        for x in batches:
-            far = np.array([difference_bound(p, q) for p, q in zip(_counts(x.column("sa")), _counts(x.column("sb")), strict=True)], np.int64)
-            total = x.column("na").to_numpy() + x.column("nb").to_numpy()
-            yield x.select(["a", "b"]).filter(pa.array(far <= most_difference(total, threshold)))
+def by_size(pairs: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """(hub, node): each hub's nodes (hub, node and the hub itself) split by size. A class spans a factor of 1/t, so linked
+    nodes are of the same or neighbouring classes; a node is filed under its own and the next. sizes: node, n."""
+    every = pairs.unionByName(pairs.select("hub", F.col("hub").alias("node")).distinct())
+    own = F.floor(F.log("n") / F.log(F.lit(max(100 / threshold, 1.01)))).cast("int")
+    filed = every.join(sizes, "node").select("hub", "node", F.explode(F.array(own, own + 1)).alias("size"))
+    return filed.select(F.xxhash64("hub", "size").alias("hub"), "node")
+
+
+def under_hubs(pairs: DataFrame, payload: DataFrame, compare, name: str) -> DataFrame:
+    """(a, b) that compare finds among the nodes of each hub. pairs: hub, node, distinct; payload: node and what compare
+    needs. compare(rows, apart) gets the hub's least node (lead) and a block of the others, and returns (a, b) rows
+    and the nodes that the lead doesn't settle; these then meet the nodes of the other blocks: compare(rows, apart) with
+    apart telling which rows are of which side, only pairs of both sides count."""
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    own = pairs.join(sizes, "hub").where("node <> least").select("hub", "node", place("blocks").alias("i"), F.lit(0).alias("j"), F.lit(False).alias("lead"), "blocks")
+    lead = sizes.select("hub", F.col("least").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("lead"), "blocks")
+
+    def tasks(apart: bool):
+        def run(group: pa.Table) -> pa.Table:
+            group = group.combine_chunks()
+            a, b, open_ = compare(group, apart)
+            hub = group["hub"][0].as_py()
+            if apart or group["blocks"][0].as_py() == 1:
+                open_ = open_[:0]
+            return pa.table({"hub": pa.array(np.full(len(a) + len(open_), hub)), "a": pa.array(np.r_[a, open_]), "b": pa.array(np.r_[b, np.zeros(len(open_), np.int64)]), "open": pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(open_), bool)])})
+
+        return run
+
+    schema = "hub long, a long, b long, open boolean"
+    first = materialise(own.unionByName(lead).join(payload, "node").groupBy("hub", "i").applyInArrow(tasks(False), schema), name)
+    found, rest = first.where("NOT open").select("hub", "a", "b"), first.where("open").select("hub", F.col("a").alias("node")).distinct()
+    if rest.limit(1).count():
+        wide = rest.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rest")).join(sizes, "hub")
+        other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rest.join(wide, "hub").select("hub", "node", place("rest").alias("i"), other("blocks").alias("j"), F.lit(True).alias("lead"), "blocks")
+        right = pairs.join(wide, "hub").select("hub", "node", other("rest").alias("i"), place("blocks").alias("j"), F.lit(False).alias("lead"), "blocks")
+        cross = left.unionByName(right).join(payload, "node").groupBy("hub", "i", "j").applyInArrow(tasks(True), schema)
+        found = found.unionByName(materialise(cross, name).select("hub", "a", "b"))
+    return found
+
+
+def _folded(raw: np.ndarray, off: np.ndarray, width: np.ndarray):
+    """For each width that occurs: rows of that width and their counters."""
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        yield int(w), rows, raw[off[rows][:, None] + np.arange(w)]
+
+
+def hopeful(threshold: int):
+    """Compares counters: (node, 0) for each node with a partner that sizes and counters allow. Open: nodes far from the
+    lead."""
+
+    def compare(group: pa.Table, apart: bool):
+        node, n, lead = group["node"].to_numpy(), group["n"].to_numpy(), group["lead"].to_numpy(zero_copy_only=False)
+        raw, off = text_view(group["sketch"])
+        classes = list(_folded(raw, off, cells(n)))
+        hit = np.zeros(len(n), bool)
+
+        def meet(of: np.ndarray, others: np.ndarray) -> None:
+            """Marks rows of both sides with a near one in the other; widths of near sizes are equal or neighbours."""
+            for w, rows, counts in classes:
+                for w2, rows2, counts2 in classes:
+                    if w2 not in (w, 2 * w, w // 2):
+                        continue
+                    p, q = of[rows], others[rows2]
+                    x, y, rx, ry = counts[p], counts2[q], rows[p], rows2[q]
+                    if len(rx) == 0 or len(ry) == 0:
+                        continue
+                    c = min(w, w2)
+                    x, y = (v if v.shape[1] == c else v.reshape(len(v), -1, c).sum(1, dtype=np.int16) for v in (x, y))
+                    x, y = (x, y) if w == w2 else (x.astype(np.int16), y.astype(np.int16))
+                    order = np.argsort(n[ry], kind="stable")
+                    ry, y = ry[order], y[order]
+                    for at in range(len(rx)):
+                        m = n[rx[at]]
+                        lo, hi = np.searchsorted(n[ry], -(-m * threshold // 100)), np.searchsorted(n[ry], m * 100 // threshold, side="right")
+                        if lo == hi:
+                            continue
+                        far = (np.maximum(x[at], y[lo:hi]) - np.minimum(x[at], y[lo:hi])).sum(1, dtype=np.int32)
+                        ok = (far <= most_difference(m + n[ry[lo:hi]], threshold)) & (ry[lo:hi] != rx[at]) & (node[ry[lo:hi]] != node[rx[at]])
+                        hit[ry[lo:hi][ok]] = True
+                        hit[rx[at]] |= ok.any()
+
+        if apart:
+            meet(lead, ~lead)
+            open_ = node[:0]
+        else:
+            meet(lead, ~lead)
+            away = ~hit & ~lead
+            meet(away, ~lead)
+            open_ = node[away]
+        found = np.unique(node[hit])
+        return found, np.zeros(len(found), np.int64), open_
+
+    return compare
+
+
+def linked(threshold: int):
+    """Compares full sets: links that join the nodes of each component. Open: nodes that are not in the lead's."""
+
+    def compare(group: pa.Table, apart: bool):
+        node, lead = group["node"].to_numpy(), group["lead"].to_numpy(zero_copy_only=False)
+        raw, off = text_view(group["tokens"])
+        at = off[:-1] // 8
+        size = np.diff(off) // 8
+        number, token = np.unique(np.frombuffer(raw.tobytes(), np.uint64), return_inverse=True)
+        parent, mark = np.arange(len(node)), np.zeros(len(number), np.int32)
+        a, b = [], []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def meet(x: int) -> None:
+            own = token[at[x] : at[x] + size[x]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[token], at)
+            mark[own] = 0
+            ok = (100 * common >= threshold * (size + size[x] - common)) & (node != node[x])
+            if apart:
+                ok &= ~lead
+            for y in np.flatnonzero(ok).tolist():
+                p, q = root(x), root(y)
+                if p != q:
+                    parent[q] = p
+                    a.append(node[x])
+                    b.append(node[y])
+
+        # the lead first; then whatever is not in its component meets all
+        if apart:
+            for x in np.flatnonzero(lead).tolist():
+                meet(x)
+            open_ = node[:0]
+        else:
+            first = int(np.flatnonzero(lead)[0])
+            meet(first)
+            for x in [x for x in range(len(node)) if root(x) != root(first)]:
+                meet(x)
+            open_ = node[[x for x in range(len(node)) if root(x) != root(first)]]
+        return np.array(a, np.int64), np.array(b, np.int64), open_
 
-    return pairs.join(one, "a").join(two, "b").where(near).mapInArrow(run, "a long, b long")
+    return compare
 
 
-def bloom(keys: DataFrame, column: str) -> np.ndarray:
+def bloom(keys: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
     """A Bloom filter of BLOOM_BITS bits, whatever the number of keys."""
-    spots = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(BLOOM_BITS)) for i in range(2)])).alias("x"))
+    spots = keys.select(F.explode(F.array(*spots_of(columns))).alias("x"))
     cells = spots.groupBy(F.shiftright("x", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(x & 63))")).alias("bits")).toArrow()
     out = np.zeros(BLOOM_BITS // 64, np.int64)
     out[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
     return out
 
 
-def verify(docs: DataFrame, table_: DataFrame, pairs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs whose sets reach the threshold. Each node's set comes from one document that has it."""
+def spots_of(columns: tuple[str, ...]):
+    return [F.pmod(F.xxhash64(*columns, F.lit(i)), F.lit(BLOOM_BITS)) for i in range(2)]
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, tokens of the wanted nodes, written down. Each node's set comes from one document that has it."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = materialise(table_.where("node IS NOT NULL").groupBy("node").agg(F.min("id_").alias("holder")).join(wanted, "node", "left_semi"), "jaccard-holders")
-    bits = spark.sparkContext.broadcast(bloom(holders, "holder"))
+    holders = nodes.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*ROW_KEY)).alias("m"))
+    holders = materialise(holders.select(*[F.col(f"m.{c}").alias(c) for c in ROW_KEY]), "jaccard-holders")
+    bits = spark.sparkContext.broadcast(bloom(holders, ROW_KEY))
 
     def thin(batches):
         for batch in batches:
-            x = [batch.column(f"x{i}").to_numpy() for i in range(2)]
+            x = longs(batch, "x0", "x1")
             hit = np.logical_and.reduce([(bits.value[v >> 6] >> (v & 63)) & 1 == 1 for v in x])
-            yield batch.select(["key_", "body_"]).filter(pa.array(hit))
+            yield batch.select([*ROW_KEY, "body_"]).filter(pa.array(hit))
 
-    some = docs.select("key_", "body_", *[F.pmod(F.xxhash64("key_", F.lit(i)), F.lit(BLOOM_BITS)).alias(f"x{i}") for i in range(2)]).mapInArrow(thin, "key_ long, body_ string")
+    some = docs.select(*ROW_KEY, "body_", *[x.alias(f"x{i}") for i, x in enumerate(spots_of(ROW_KEY))]).mapInArrow(thin, "k1_ long, k2_ long, body_ string")
 
     def sets(batches):
         for batch in batches:
-            for ids, tokens, at, nodes in _batches(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([tokens[at[i] : at[i + 1]].tobytes() for i in range(len(ids))], pa.binary())], names=["node", "tokens"])
+            for i, j, tokens, at, found in _batches(batch, k):
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([tokens[at[x] : at[x + 1]].tobytes() for x in range(j - i)], pa.binary())], names=["node", "tokens"])
 
-    held = some.join(holders, F.col("key_") == F.col("holder")).select("key_", "body_").dropDuplicates(["key_"]).mapInArrow(sets, "node long, tokens binary")
+    held = some.join(holders, list(ROW_KEY)).dropDuplicates(list(ROW_KEY)).select("body_").mapInArrow(sets, "node long, tokens binary")
     held = materialise(held, "jaccard-sets")
-
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[at] == p).sum())
-                keep.append(100 * common >= threshold * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    full = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    bits.destroy()
+    return held
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -350,110 +463,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels after further links: components are contracted first, so only links between them are followed."""
-    at = lambda c: labels.select(F.col("v").alias(c), F.col("c").alias(c + "_c"))
-    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
-    up = components(between).select(F.col("v").alias("c"), F.col("c").alias("up"))
-    old = labels.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"))
-    new = up.select(F.col("c").alias("v"), F.col("up").alias("c")).join(labels, "v", "left_anti")
-    return materialise(old.unionByName(new), "labels")
-
-
-def across(rest: DataFrame, known: DataFrame, labels: DataFrame, info: DataFrame, threshold: int, every: bool, block: int = 512) -> DataFrame:
-    """Plausible pairs between components within the groups of rest (a: group, b: node) not yet in known: all of them,
-    or for each node only the likeliest partner. Groups that lie in one component drop out first.
-    Copies of a text share many groups; those with the same least node are taken together, so that a pair is compared
-    once there and not once a group."""
-    placed = rest.join(labels, F.col("b") == F.col("v"), "left").select(F.col("a").alias("g"), F.col("b").alias("node"), F.coalesce("c", "b").alias("c"))
-    mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("hub")).where("lo <> hi").select("g", "hub")
-    members = placed.join(mixed, "g").groupBy("hub", "node", "c").agg(F.collect_list("g").alias("groups"))
-    rows = members.join(info, "node")
-
-    def run(table_: pa.Table) -> pa.Table:
-        table_ = table_.combine_chunks()
-        n = table_["n"].to_numpy()
-        order = np.argsort(n, kind="stable")
-        table_, n = table_.take(pa.array(order)), n[order]
-        node, c, full, width = table_["node"].to_numpy(), table_["c"].to_numpy(), _counts(table_["sketch"]), cells(n)
-        groups = table_["groups"].combine_chunks()
-        owner, group = np.repeat(np.arange(len(n)), np.diff(groups.offsets.to_numpy())), groups.flatten().to_numpy()
-        by_group = np.argsort(group, kind="stable")
-        owner, group = owner[by_group], group[by_group]
-        members = np.split(owner, np.flatnonzero(group[1:] != group[:-1]) + 1)
-        found = []
-        for i in range(0, len(n), block):
-            end = min(i + block, len(n))
-            stop = int(np.searchsorted(n * threshold, 100 * n[end - 1], side="right"))
-            for j in range(i, stop, block):
-                last = min(j + block, stop)
-                together = np.zeros((end - i, last - j), bool)
-                for m in members:
-                    p, q = m[(m >= i) & (m < end)] - i, m[(m >= j) & (m < last)] - j
-                    if len(p) and len(q):
-                        together[np.ix_(p, q)] = True
-                together &= (c[i:end, None] != c[None, j:last]) & (node[i:end, None] != node[None, j:last])
-                u, v = np.nonzero(together)
-                if len(u) == 0:
-                    continue
-                # sizes ascend, so the first of the block has the fewest counters; others are folded to as many
-                one, two = (np.array([full[x].astype(np.int16).reshape(-1, width[i]).sum(0) for x in range(*r)], np.int16) for r in ((i, end), (j, last)))
-                far = np.concatenate([np.abs(one[u[x : x + 8192]] - two[v[x : x + 8192]]).sum(1, dtype=np.int64) for x in range(0, len(u), 8192)])
-                ok = far <= most_difference(n[i:end][u] + n[j:last][v], threshold)
-                u, v, far = u[ok], v[ok], far[ok]
-                if not every:
-                    first_of = lambda x: np.unique(x[np.lexsort((far, x))], return_index=True)[1]
-                    pick = np.unique(np.concatenate([np.lexsort((far, x))[first_of(x)] for x in (u, v)]))
-                    u, v = u[pick], v[pick]
-                found.append(np.stack([node[i:end][u], node[j:last][v]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
-
-    pairs = rows.select("hub", "node", "c", "n", "sketch", "groups").groupBy("hub").applyInArrow(run, "a long, b long").distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
-
-
 def members(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """id_, n, least_: one row for each row of docs, with ids as from id_of."""
-    own = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("body_"))
+    """own_ (the key), k1_, k2_ (as from row_key), n, node, c: a row for each row of docs; equal c for one component, null
+    without shingles."""
+    own = docs.select(F.col(key).alias("own_"), *row_key(key, text), F.col(text).alias("body_"))
     nodes = materialise(node_table(own, k), "jaccard-nodes")
-    buckets, bands = max(16, -(-bytes_in(own, "body_") // BUCKET_BYTES)), Bands(nodes.count(), threshold)
+    size = nodes.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).first()
+    bands = Bands(size["docs"], threshold)
+    buckets = max(16, -(-(size["n"] or 0) * 8 // BUCKET_BYTES))
+    pairs = materialise(candidates(own, buckets, bands, k).distinct(), "jaccard-candidates")
     info = nodes.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    found = materialise(candidates(own, buckets, bands, k), "jaccard-candidates")
-    first = materialise(plausible(found.where("kind = 0").select("a", "b").distinct(), info, threshold), "jaccard-pairs")
-    links = materialise(verify(own, nodes, first, k, threshold), "jaccard-links")
+    pairs = materialise(by_size(pairs, info.select("node", "n"), threshold).distinct(), "jaccard-filed")
+    some = materialise(under_hubs(pairs, info, hopeful(threshold), "jaccard-near").select("hub", F.col("a").alias("node")).distinct(), "jaccard-hopeful")
+    held = sets_of(own, nodes, some.select("node").distinct(), k)
+    links = under_hubs(some, held, linked(threshold), "jaccard-links").select("a", "b")
     labels = components(links)
-    rest = found.where("kind = 1").select("a", "b").distinct()
-    known = first
-    # each node's likeliest partner in another component merges most of them within a few rounds, so that few pairs
-    # are left for the last round, which takes all
-    rounds = [False, False, False, True]
-    while rounds:
-        every = rounds.pop(0)
-        more = materialise(across(rest, known, labels, info, threshold, every), "jaccard-pairs")
-        new = materialise(verify(own, nodes, more, k, threshold), "jaccard-links") if more.limit(1).count() else None
-        if new is not None:
-            known = known.unionByName(more)
-        if new is not None and new.limit(1).count():
-            labels = merged(labels, new)
-        else:
-            rounds = [True] if not every else []
-    placed = nodes.join(labels, F.col("node") == F.col("v"), "left").select("id_", "n", F.coalesce("c", "node").alias("c"))
-    least = placed.where("c IS NOT NULL").groupBy("c").agg(F.min("id_").alias("least_"))
-    return placed.join(least, "c", "left").select("id_", "n", F.coalesce("least_", "id_").alias("least_"))
+    none = nodes.where("node IS NULL").withColumn("c", F.lit(None).cast("long"))  # not joined: their nulls would meet in one task
+    placed = nodes.where("node IS NOT NULL").join(labels, F.col("node") == F.col("v"), "left").select(*nodes.columns, F.coalesce("c", "node").alias("c"))
+    return placed.unionByName(none).drop("sketch")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """key, n_shingles, component_id: one row for each row of docs."""
-    return members(docs, key, text, k, threshold).select(plain_id(F.col("id_")).alias(key), F.col("n").alias("n_shingles"), plain_id(F.col("least_")).alias("component_id"))
+    found = members(docs, key, text, k, threshold)
+    full = found.where("c IS NOT NULL")
+    least = full.groupBy("c").agg(F.min("own_").alias("least_"))
+    out = full.join(least, "c").unionByName(found.where("c IS NULL").withColumn("least_", F.col("own_")))
+    return out.select(F.col("own_").alias(key), F.col("n").alias("n_shingles"), F.col("least_").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one row of each component, that of its least id."""
-    kept = members(docs, key, text, k, threshold).where("least_ = id_").select("id_")
-    rows = docs.select(id_of(key, text).alias("id_"), F.struct(*docs.columns).alias("whole_"))
-    return rows.join(kept, "id_", "left_semi").dropDuplicates(["id_"]).select("whole_.*")
+    """docs with one row of each component, that of its least id; of documents without shingles, one row of each."""
+    found = members(docs, key, text, k, threshold)
+    first = F.min(F.struct(F.col("own_").isNull(), "own_", *ROW_KEY)).alias("m")
+    kept = found.where("c IS NOT NULL").groupBy("c").agg(first).select("m.k1_", "m.k2_").unionByName(found.where("c IS NULL").select(*ROW_KEY).distinct())
+    rows = docs.select(*row_key(key, text), F.struct(*docs.columns).alias("whole_"))
+    return rows.join(kept, list(ROW_KEY), "left_semi").dropDuplicates(list(ROW_KEY)).select("whole_.*")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

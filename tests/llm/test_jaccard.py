@@ -81,3 +81,32 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(5, "a b c d e f", ""), (5, "a b c d e f", ""), (2, "A b c d e f", ""), (1, None, "")]
     found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())
     assert found == [(1, 0, 1), (2, 2, 2), (5, 2, 2), (5, 2, 2)]
+
+
+def test_large_hubs_in_pairs_of_blocks(spark, monkeypatch):
+    """The same components whatever the size of a block."""
+    rows = corpus(4)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
+
+
+def test_one_id_with_two_texts_and_wide_ids(spark):
+    word = lambda n: [f"w{n}x{i}" for i in range(60)]
+    near = lambda n: " ".join(["other", *word(n)[1:]])
+    a, b = " ".join(word(1)), " ".join(word(2))
+    rows = [(5, a, ""), (5, b, ""), (6, near(1), ""), (7, near(2), ""), (5 * 10**18, " ".join(word(3)), ""), (-9 * 10**18, near(3), ""), (9 * 10**18, " ".join(word(4)), ""), (None, near(4), "")]
+    d = spark.createDataFrame(rows, SCHEMA)
+    found = sorted(((r.doc_id or 0, r.component_id) for r in jaccard.jaccard_components(d).collect()))
+    assert found == sorted([(5, 5), (5, 5), (6, 5), (7, 5), (5 * 10**18, -9 * 10**18), (-9 * 10**18, -9 * 10**18), (9 * 10**18, 9 * 10**18), (0, 9 * 10**18)])
+    kept = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(d).collect())
+    assert kept == sorted([(5, a), (5, b), (-9 * 10**18, near(3)), (9 * 10**18, " ".join(word(4)))])
+
+
+def test_counters_never_say_more_than_the_difference():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        s = r.integers(0, 1 << 63, int(r.integers(1, 400)), dtype=np.uint64)
+        p, q = s[: int(r.integers(1, len(s) + 1))], s[int(r.integers(0, len(s))) :]
+        one, two = (np.bincount((x & np.uint64(c - 1)).astype(int), minlength=c).astype(np.uint8) for x in (p, q) for c in [int(jaccard.cells(np.array([len(x)]))[0])])
+        assert jaccard.difference_bound(one, two) <= len(np.setxor1d(p, q))
