@@ -80,20 +80,6 @@ def by_bucket(entries: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, list
     return bucket[head], [entries[i:j].tobytes() for i, j in zip(head, np.r_[head[1:], len(entries)], strict=True)]
 
 
-#: Rows without an id get one from here on, by their text; ids of tables lie below.
-NO_ID = 1 << 62
-
-
-def id_of(key: str, text: str) -> Column:
-    """key as long; where it is null, a number from NO_ID on by the text, so that equal texts without ids are one."""
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
-
-
-def plain_id(own: Column) -> Column:
-    """The id behind id_of: null again where there was none."""
-    return F.when(own < F.lit(NO_ID), own)
-
-
 def text_view(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow text column without copying; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,8 +1,10 @@
 """Operator 8: benchmark decontamination by latent semantic retrieval.
 
-1. *Statistics.* In how many blocks of `STRIDE` words, over the whole corpus, each term of the benchmark occurs.
-   Terms in more than `max_share` of all blocks say little and are left out. An item that would lose over half of its
-   terms so, as one that is copied widely does, keeps them all with their low weights; any keeps its three rarest.
+1. *Words.* The corpus is cut into words once; each becomes its number among the benchmark's terms (or none), and these
+   short rows are written down: all that follows reads them, not the texts. The same pass counts in how many blocks of
+   `STRIDE` words each term occurs. Terms in more than `max_share` of all blocks say little and get no weight in the
+   latent space; an item that would lose over half of its terms so, as one that is copied widely does, keeps them all
+   with their low weights, and any keeps its three rarest. This decides what the cosine says, not what is found: see 3.
 2. *Distributed randomised SVD.* The rows of A are TF-IDF passages (two neighbouring blocks) of the corpus, over the
    benchmark's terms, and the benchmark's own passages, weighted as heavily as the corpus. One pass makes A'(A G) for
    a random G in partial sums by term; its orthonormal basis Q spans the latent space (one power iteration included).
@@ -11,11 +13,14 @@
    loses items, the more of them the larger the benchmark, so a bound adds what the cosine leaves out: a passage that
    can pass the check below holds at least `least` of the item's rarest words. This bound misses no leak.
 4. *Checks.* A candidate is a leak if the longest common subsequence of the item's words with the passage (and half a
-   block around it) holds `lcs_share` of the item, and half of the item's answer (its last quarter) among them.
+   block around it) holds `lcs_share` of the item, and half of the item's answer (its last quarter) among them. An item
+   of 72 words or more is sought in parts of about `PIECE` words: a part is a leak if the document also holds half of
+   the item's answer, wherever, or if the part is there nearly verbatim (`VERBATIM`): then it needs no answer.
 
 Defined cases: null and empty texts have no passages; items without words are never found; equal items are all
 reported; a text shorter than a passage is one passage; repeated rows get equal results; an empty corpus gives no
-rows and an empty benchmark no leaks; extra columns are ignored; rows with a null id keep it.
+rows and an empty benchmark no leaks; extra columns are ignored; rows with a null id keep it; rows of one id and
+different texts are judged apart.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, id_of, lower_ascii, pieces, plain_id, prefix_hash, span_hash, table, text_view, words
+from .common import NOT_ALNUM, ROW_KEY, lower_ascii, materialise, pieces, prefix_hash, row_key, span_hash, table, text_view, words
 
 STRIDE = 32
 RANK = 160
 #: Benchmark items in one pass over the corpus; further items take further passes.
 ITEMS = 2000
 PIECE = 48
+#: Share of a part of a long item that counts as verbatim.
+VERBATIM = 0.9
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -49,14 +56,22 @@ class Query:
     def __init__(self, rows: pa.Table):
         data, off = text_view(rows["text"])
         h, first = tokens(data, off)
-        self.item, self.words = [], []
+        self.item, self.words, self.last = [], [], []  # last: the number of the item's last part
         for i, name in enumerate(rows["item_id"].to_pylist()):
             own = h[first[i] : first[i + 1]]
             parts = max(1, round(len(own) / PIECE))
             for part in np.array_split(own, parts) if len(own) else []:
                 self.item.append(name)
                 self.words.append(part)
+            self.last += [len(self.words) - 1] * (parts if len(own) else 0)
         self.terms = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        self.kind = np.dtype("<u2" if len(self.terms) < 65_000 else "<u4")
+        self.words = [np.searchsorted(self.terms, w) for w in self.words]
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of words among the terms; unknown words get the one after."""
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        return np.where(self.terms[at] == h, at, len(self.terms)).astype(self.kind)
 
     def weigh(self, df: np.ndarray, blocks: int, max_share: float, lcs_share: float) -> None:
         """Keeps the telling terms; sets idf (0: left out), masks for the subsequence check and the rare words."""
@@ -64,16 +79,18 @@ class Query:
         telling = df <= max(2.0, max_share * blocks)
         keep = telling.copy()
         for w in self.words:
-            t = np.unique(np.searchsorted(self.terms, w))
+            t = np.unique(w)
             keep[t if telling[t].mean() < 0.5 else t[np.argsort(df[t], kind="stable")[:3]]] = True
         self.idf[~keep] = 0
+        self.idf = np.r_[self.idf, 0.0]  # of unknown words
         self.masks, self.answers = [], []
-        for w in self.words:
+        length = np.bincount(self.last, [len(w) for w in self.words], len(self.words)).astype(int)  # of the items
+        for p, w in enumerate(self.words):
             mask: dict[int, int] = {}
             for i, x in enumerate(w.tolist()):
                 mask[x] = mask.get(x, 0) | 1 << i
             self.masks.append(mask)
-            n = max(min(3, len(w)), math.ceil(len(w) / 4))
+            n = min(len(w), max(min(3, len(w)), math.ceil(length[self.last[p]] / 4)))
             self.answers.append(((1 << n) - 1) << (len(w) - n))
         self.index_rare(df, lcs_share)
 
@@ -84,8 +101,7 @@ class Query:
         for i, w in enumerate(self.words):
             need = max(1, math.ceil(lcs_share * len(w)))
             self.least[i] = (need + 1) // 2
-            t = np.searchsorted(self.terms, w)
-            rare = t[np.argsort(df[t], kind="stable")[: len(w) - need + self.least[i]]]
+            rare = w[np.argsort(df[w], kind="stable")[: len(w) - need + self.least[i]]]
             t, n = np.unique(rare, return_counts=True)
             term.append(t)
             passage.append(np.full(len(t), i))
@@ -93,13 +109,13 @@ class Query:
         term = np.concatenate(term)
         order = np.argsort(term, kind="stable")
         self.rare = np.concatenate(passage)[order], np.concatenate(times)[order]
-        self.rare_at = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.rare_at = np.searchsorted(term[order], np.arange(len(self.terms) + 2))  # unknown words have none
 
     def rows(self) -> np.ndarray:
         """Dense unit rows: passage x term."""
         a = np.zeros((len(self.words), len(self.terms)), np.float32)
         for i, w in enumerate(self.words):
-            t, n = np.unique(np.searchsorted(self.terms, w), return_counts=True)
+            t, n = np.unique(w, return_counts=True)
             a[i, t] = (1 + np.log(n)) * self.idf[t]
         return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
 
@@ -120,21 +136,20 @@ def blocks_of(first: np.ndarray):
     return np.r_[0, np.cumsum(n)]
 
 
-def passages(h: np.ndarray, first: np.ndarray, terms: np.ndarray, idf: np.ndarray):
-    """Sparse TF-IDF rows (passage, term, weight), sorted; a passage is a block and the one after it. Passages bear the
-    number of their first block; a document's last block is a passage only if it is its first, too."""
-    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-    known = (terms[at] == h) & (idf[at] > 0)
-    place = np.flatnonzero(known)
+def passages(h: np.ndarray, first: np.ndarray, idf: np.ndarray):
+    """Sparse TF-IDF rows (passage, term, weight), sorted, of numbered words; a passage is a block and the one after it.
+    Passages bear the number of their first block; a document's last block is a passage only if it is its first, too."""
+    place = np.flatnonzero(idf[h] > 0)
+    at = h[place].astype(np.int64)
     doc = np.searchsorted(first, place, side="right") - 1
     start = blocks_of(first)
     block = start[doc] + (place - first[doc]) // STRIDE
     last = np.maximum(start[doc + 1] - 2, start[doc])
     here, before = block <= last, block > start[doc]
     p = np.r_[block[here], block[before] - 1]
-    t = np.r_[at[place][here], at[place][before]]
-    key, n = np.unique(p * len(terms) + t, return_counts=True)
-    p, t = key // len(terms), key % len(terms)
+    t = np.r_[at[here], at[before]]
+    key, n = np.unique(p * len(idf) + t, return_counts=True)
+    p, t = key // len(idf), key % len(idf)
     return p, t, ((1 + np.log(n)) * idf[t]).astype(np.float32)
 
 
@@ -142,11 +157,10 @@ def rare_matches(h: np.ndarray, first: np.ndarray, q: Query) -> tuple[np.ndarray
     """(passage of the text, passage of the benchmark) wherever the four blocks that cover a passage's window hold
     enough of the rare words; sorted."""
     n_terms, n_items, (item, times) = len(q.terms), len(q.words), q.rare
-    at = np.minimum(np.searchsorted(q.terms, h), n_terms - 1)
-    place = np.flatnonzero((q.terms[at] == h) & (q.rare_at[at + 1] > q.rare_at[at]))
+    place = np.flatnonzero(np.diff(q.rare_at)[h] > 0)
     doc = np.searchsorted(first, place, side="right") - 1
     start = blocks_of(first)
-    key, n = np.unique((start[doc] + (place - first[doc]) // STRIDE) * n_terms + at[place], return_counts=True)
+    key, n = np.unique((start[doc] + (place - first[doc]) // STRIDE) * n_terms + h[place], return_counts=True)
     block, t = key // n_terms, key % n_terms
     step, found = max(32, (1 << 18) // n_items), []
     for a in range(0, int(start[-1]), step):
@@ -169,54 +183,78 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
 
 
-def term_counts(docs: DataFrame, q: Query) -> tuple[np.ndarray, int]:
-    """Blocks that hold each term, and blocks in all; summed by term in the cluster."""
-    terms = q.terms
+def numbered(docs: DataFrame, q: Query) -> DataFrame:
+    """own_, k1_, k2_, words (packed numbers) of each row, written down; and, where words is null, a task's counts:
+    (term, blocks that hold it) packed, with the number of terms for all blocks."""
+    keys, pair = ("own_", *ROW_KEY), np.dtype([("term", "<i8"), ("n", "<i8")])
+    shared = docs.sparkSession.sparkContext.broadcast(q)
 
     def run(batches):
-        df, total = np.zeros(len(terms), np.int64), 0
+        q = shared.value
+        df, n_terms, last = np.zeros(len(q.terms) + 1, np.int64), len(q.terms), None
         for batch in batches:
+            last, packed = batch, []
             data, off = text_view(batch.column("t_"))
             for i, j in pieces(off):
                 h, first = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                h = q.numbers(h) if len(h) else h.astype(q.kind)
+                packed += [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 start = blocks_of(first)
-                total += int(start[-1])
-                if len(h) == 0:
-                    continue
-                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                place = np.flatnonzero(terms[at] == h)
+                df[-1] += start[-1]
+                place = np.flatnonzero(h < n_terms)
                 doc = np.searchsorted(first, place, side="right") - 1
                 block = start[doc] + (place - first[doc]) // STRIDE
-                df += np.bincount(np.unique(block * len(terms) + at[place]) % len(terms), minlength=len(terms))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[total, df[some]])], names=["term", "n"])
+                df[:-1] += np.bincount(np.unique(block * n_terms + h[place]) % n_terms, minlength=n_terms)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names=[*keys, "words", "counts"])
+        if last is not None:
+            some = np.zeros(len(found := np.flatnonzero(df)), pair)
+            some["term"], some["n"] = found, df[found]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, last.column(c).type) for c in keys], pa.nulls(1, pa.binary()), pa.array([some.tobytes()], pa.binary())], names=[*keys, "words", "counts"])
+
+    kinds = dict(docs.dtypes)
+    out = materialise(docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", words binary, counts binary"), "leak-words")
+    shared.destroy()
+    return out
+
+
+def term_counts(rows: DataFrame, q: Query) -> tuple[np.ndarray, int]:
+    """Blocks that hold each term, and blocks in all; summed by term in the cluster."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["term", "n"])
+
+    found = rows.where("words IS NULL").select("counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(q.terms) + 1, np.int64)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return df[:-1], int(df[-1])
 
-    found = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, n = found["term"].to_numpy(), found["n"].to_numpy()
-    df = np.zeros(len(terms), np.int64)
-    df[term[term >= 0]] = n[term >= 0]
-    return df, int(n[term < 0].sum())
 
+def _words(batch, kind: np.dtype):
+    """(first and last row, numbered words, where each row's begin) of the pieces of an Arrow batch."""
+    data, off = text_view(batch.column("words"))
+    for i, j in pieces(off):
+        yield i, j, np.frombuffer(data[off[i] : off[j]].tobytes(), kind), (off[i : j + 1] - off[i]) // kind.itemsize
 
-def latent_basis(docs: DataFrame, q: Query, rank: int = RANK, seed: int = 3) -> np.ndarray:
+
+def latent_basis(rows: DataFrame, q: Query, rank: int = RANK, seed: int = 3) -> np.ndarray:
     """Q: terms x rank."""
     n_terms, rank = len(q.terms), min(rank, len(q.terms))
     g = np.random.default_rng(seed).normal(size=(n_terms, rank)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((q.terms, q.idf, g))
+    shared = rows.sparkSession.sparkContext.broadcast((q.kind, q.idf, g))
 
     def run(batches):
-        terms, idf, g = shared.value
-        z, single = np.zeros(g.shape, np.float32), np.zeros(len(terms), np.int64)
+        kind, idf, g = shared.value
+        z, single = np.zeros(g.shape, np.float32), np.zeros(len(g), np.int64)
         for batch in batches:
-            data, off = text_view(batch.column("t_"))
-            for i, j in pieces(off):
-                h, first = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                p, t, w = passages(h, first, terms, idf)
+            for _, _, h, first in _words(batch, kind):
+                p, t, w = passages(h, first, idf)
                 if len(p) == 0:
                     continue
                 # a passage of one term is that term's unit row: it adds the row of G itself
                 alone = np.r_[True, p[1:] != p[:-1]] & np.r_[p[1:] != p[:-1], True]
-                single += np.bincount(t[alone], minlength=len(terms))
+                single += np.bincount(t[alone], minlength=len(g))
                 p, t, w = p[~alone], t[~alone], w[~alone]
                 ends = np.r_[_heads(p), len(p)]
                 at = 0
@@ -243,7 +281,8 @@ def latent_basis(docs: DataFrame, q: Query, rank: int = RANK, seed: int = 3) ->
             yield pa.RecordBatch.from_arrays([b.column("term"), pa.array([np.sum([np.frombuffer(x, np.float32) for x in rows], axis=0, dtype=np.float64).astype(np.float32).tobytes() for rows in b.column("rows").to_pylist()], pa.binary())], names=["term", "row"])
 
     # partial sums meet by term: one row a task each
-    found = docs.mapInArrow(run, "term long, row binary").groupBy("term").agg(F.collect_list("row").alias("rows")).mapInArrow(add, "term long, row binary").toArrow()
+    found = rows.select("words").mapInArrow(run, "term long, row binary").groupBy("term").agg(F.collect_list("row").alias("rows")).mapInArrow(add, "term long, row binary").toArrow()
+    shared.destroy()
     z = np.zeros((n_terms, rank))
     for term, row in zip(found["term"].to_pylist(), found["row"].to_pylist(), strict=True):
         z[term] = np.frombuffer(row, np.float32)
@@ -253,33 +292,41 @@ def latent_basis(docs: DataFrame, q: Query, rank: int = RANK, seed: int = 3) ->
     return np.linalg.qr(z)[0].astype(np.float32)
 
 
-def search(docs: DataFrame, q: Query, basis: np.ndarray, key: str, least_cosine: float, lcs_share: float, answer_share: float) -> DataFrame:
-    """key, item_id, cosine, lcs for every leak."""
+def search(rows: DataFrame, q: Query, basis: np.ndarray, least_cosine: float, lcs_share: float, answer_share: float) -> DataFrame:
+    """k1_, k2_, item_id, cosine, lcs for every leak."""
     unit = q.rows() @ basis
     unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((q, basis, unit))
-    kind = pa.int64()
+    shared = rows.sparkSession.sparkContext.broadcast((q, np.r_[basis, np.zeros((1, basis.shape[1]), basis.dtype)], unit))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches):
         q, basis, unit = shared.value
+        answered = lambda bits, c: (bits & q.answers[c]).bit_count() >= answer_share * q.answers[c].bit_count()
         for batch in batches:
-            ids, out = batch.column("key_").to_pylist(), []
-            data, off = text_view(batch.column("t_"))
-            for i, j in pieces(off):
-                h, first = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            k1, k2 = (batch.column(c).to_pylist() for c in ROW_KEY)
+            out = []
+            for i, _, h, first in _words(batch, q.kind):
                 start = blocks_of(first)
 
+                def window(d: int, block: int) -> list[int]:
+                    begin = first[d] + block * STRIDE
+                    return h[max(first[d], begin - STRIDE // 2) : min(first[d + 1], begin + 2 * STRIDE + STRIDE // 2)].tolist()
+
                 def check(block: int, c: int, cosine: float) -> None:
                     d = int(np.searchsorted(start, block, side="right")) - 1
-                    begin = first[d] + (block - start[d]) * STRIDE
-                    window = h[max(first[d], begin - STRIDE // 2) : min(first[d + 1], begin + 2 * STRIDE + STRIDE // 2)].tolist()
-                    n = len(q.words[c])
-                    bits = common_subsequence(q.masks[c], n, window)
-                    if bits.bit_count() >= lcs_share * n and (bits & q.answers[c]).bit_count() >= answer_share * q.answers[c].bit_count():
-                        out.append((ids[i + d], q.item[c], cosine, bits.bit_count() / n))
+                    n, last = len(q.words[c]), q.last[c]
+                    bits = common_subsequence(q.masks[c], n, window(d, block - start[d]))
+                    if bits.bit_count() < lcs_share * n:
+                        return
+                    alone = last == c and (c == 0 or q.last[c - 1] != c)
+                    if not (answered(bits, c) if last == c else False) and (alone or bits.bit_count() < VERBATIM * n):
+                        # of a long item, the answer may stand elsewhere in the document
+                        if alone or not any(answered(common_subsequence(q.masks[last], len(q.words[last]), window(d, b)), last) for b in range(start[d + 1] - start[d])):
+                            return
+                    out.append((k1[i + d], k2[i + d], q.item[c], cosine, bits.bit_count() / n))
 
                 near, near_c = rare_matches(h, first, q)
-                p, t, w = passages(h, first, q.terms, q.idf)
+                p, t, w = passages(h, first, q.idf)
                 head = _heads(p)
                 at = np.searchsorted(p[head], near)
                 blank = np.r_[p[head], -1][at] != near
@@ -295,39 +342,46 @@ def search(docs: DataFrame, q: Query, basis: np.ndarray, key: str, least_cosine:
                     mine = slice(*np.searchsorted(at, (a, a + 4096)))
                     close[at[mine] - a, near_c[mine]] = True
                     for r, c in zip(*np.nonzero(close), strict=True):
-                        check(int(p[head[a + r]]), c, float(cos[r, c]))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["key_", "item_id", "cosine", "lcs"])
+                        check(int(p[head[a + r]]), int(c), float(cos[r, c]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)], names=[*ROW_KEY, "item_id", "cosine", "lcs"])
+
+    return rows.where("words IS NOT NULL").select(*ROW_KEY, "words").mapInArrow(run, "k1_ long, k2_ long, item_id long, cosine double, lcs double")
 
-    return docs.mapInArrow(run, "key_ long, item_id long, cosine double, lcs double")
 
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("own_"), *row_key(key, text), F.col(text).alias("t_"))
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", max_share: float = 0.02, least_cosine: float = 0.4, lcs_share: float = 0.6, answer_share: float = 0.5) -> DataFrame:
-    """key_ (as from id_of), item_id, cosine, lcs: every item (item_id, text) found in a document, with its best passage."""
-    spark = docs.sparkSession
-    own = docs.select(id_of(key, text).alias("key_"), F.col(text).alias("t_"))
-    total = benchmark.count()
-    parts = max(1, -(-total // ITEMS))
-    found = spark.createDataFrame([], "key_ long, item_id long, cosine double, lcs double")
+
+def _found(docs: DataFrame, benchmark: DataFrame, key: str, text: str, max_share: float = 0.02, least_cosine: float = 0.4, lcs_share: float = 0.6, answer_share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """A row (own_, k1_, k2_) for each row of docs, and the leaks."""
+    spark, own = docs.sparkSession, _keyed(docs, key, text)
+    rows, found = own, spark.createDataFrame([], "k1_ long, k2_ long, item_id long, cosine double, lcs double")
+    parts = max(1, -(-benchmark.count() // ITEMS))
     for part in range(parts):
         mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         q = Query(mine.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toArrow())
         if len(q.words) == 0:
             continue
-        df, blocks = term_counts(own, q)
-        q.weigh(df, blocks, max_share, lcs_share)
-        basis = latent_basis(own, q)
-        hits = search(own, q, basis, key, least_cosine, lcs_share, answer_share)
+        rows = numbered(own, q)
+        q.weigh(*term_counts(rows, q), max_share, lcs_share)
+        hits = search(rows, q, latent_basis(rows.where("words IS NOT NULL"), q), least_cosine, lcs_share, answer_share)
         found = hits if part == 0 else found.unionByName(hits)
-    return found.groupBy("key_", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
+    found = found.groupBy(*ROW_KEY, "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
+    return (rows.where("words IS NOT NULL") if "words" in rows.columns else rows).select("own_", *ROW_KEY), found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """k1_, k2_ (as from row_key), item_id, cosine, lcs: every item (item_id, text) found in a document, with its best passage."""
+    return _found(docs, benchmark, key, text, **options)[1]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """key, contaminated, item_ids (ascending), item_id (of the longest match), lcs, cosine: one row a row of docs."""
-    hits = leaks(docs, benchmark, key, text, **options)
-    hits = hits.groupBy("key_").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max(F.struct("lcs", "cosine", -F.col("item_id"))).alias("top_"))
-    out = docs.select(id_of(key, text).alias("id_")).join(hits, F.col("id_") == F.col("key_"), "left")
-    return out.select(plain_id(F.col("id_")).alias(key), F.col("key_").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), (-F.col("top_.col3")).alias("item_id"), F.coalesce("top_.lcs", F.lit(0.0)).alias("lcs"), F.coalesce("top_.cosine", F.lit(0.0)).alias("cosine"))
+    rows, hits = _found(docs, benchmark, key, text, **options)
+    hits = hits.groupBy(*ROW_KEY).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max(F.struct("lcs", "cosine", -F.col("item_id"))).alias("top_"))
+    out = rows.join(hits, list(ROW_KEY), "left")
+    return out.select(F.col("own_").alias(key), F.col("top_").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), (-F.col("top_.col3")).alias("item_id"), F.coalesce("top_.lcs", F.lit(0.0)).alias("lcs"), F.coalesce("top_.cosine", F.lit(0.0)).alias("cosine"))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
