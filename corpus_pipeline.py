@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm import decontaminate, jaccard, mixing, suffix, toxicity
-from repolens.llm.common import id_of, materialise
+from repolens.llm.common import ROW_KEY, materialise, row_key
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("key_").alias("id_")).distinct()
-    rows = docs.select(id_of("doc_id", "text").alias("id_"), F.struct(*docs.columns).alias("whole_"))
-    return rows.join(found, "id_", "left_anti").select("whole_.*")
+    found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(*ROW_KEY).distinct()
+    rows = docs.select(*row_key("doc_id", "text"), F.struct(*docs.columns).alias("whole_"))
+    return rows.join(found, list(ROW_KEY), "left_anti").select("whole_.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
