@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mini_repo as M
+from .engine import Engine
 from .functions import text as T
 from .operators import extract as X
 from .operators import graph as G
@@ -53,6 +56,17 @@ def _chunks(spark, sf) -> DataFrame:
     return S.chunk_files(_files(spark, sf))
 
 
+_INDEXES: dict = {}
+
+
+def _index(spark, sf) -> S.StoredIndex:
+    """The stored index of the documents, written on first use by a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.StoredIndex(spark, f"{G.shared_folder(spark)}/repolens-index-{uuid.uuid4().hex}").write(_chunks(spark, sf))
+    return _INDEXES[key]
+
+
 def _mini(spark) -> DataFrame:
     return spark.createDataFrame(M.FILES, "path string, language string, content string")
 
@@ -149,9 +163,16 @@ def corpus_stats(spark, sf):
     return S.corpus_stats(_chunks(spark, sf)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(M.values("WITH t", "place, term", list(enumerate(TERMS))) + " SELECT place, term FROM t")
+@query(f"""WITH {M.values("syn", "head, k, word", [(h, k + 1, w) for h, ws in T.SYNONYMS.items() for k, w in enumerate(ws)])},
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '') || ' payment sync'), '[a-z0-9_]+') AS ws FROM documents)),
+t AS (SELECT doc_id, word AS term, pos * 100 AS pos FROM w WHERE length(word) > 1 UNION ALL SELECT doc_id, syn.word, pos * 100 + k FROM w JOIN syn ON head = w.word),
+f AS (SELECT doc_id, term, min(pos) AS pos FROM t GROUP BY doc_id, term)
+SELECT doc_id, count(*) AS terms, sha256(string_agg(term, ' ' ORDER BY pos)) AS terms_hash FROM f GROUP BY doc_id""")
 def query_terms(spark, sf):
-    return spark.createDataFrame(list(enumerate(TERMS)), "place long, term string")
+    """The terms of a batch of queries: every document's text with two words that have synonyms."""
+    terms = T.terms_of(F.concat(F.coalesce("text", F.lit("")), F.lit(" payment sync")))
+    t = _t(spark, sf, "documents").select("doc_id", terms.alias("ts"))
+    return t.select("doc_id", F.size("ts").cast("long").alias("terms"), F.sha2(F.array_join("ts", " "), 256).alias("terms_hash"))
 
 
 def _bm25_sql(terms: list[str]) -> str:
@@ -169,14 +190,21 @@ bm AS (SELECT path, start_line, round(-sum(CASE WHEN idf <= 0 THEN 1e-6::DOUBLE
 
 @query(f"WITH {_bm25_sql(TERMS)} SELECT path, start_line, round(bm25, 6) AS bm25 FROM bm")
 def search_bm25(spark, sf):
-    c = _chunks(spark, sf)
-    return S.bm25(c, TERMS).join(c.select("chunk_id", "path", "start_line"), "chunk_id").select("path", "start_line", F.round("bm25", 6).alias("bm25"))
+    i = _index(spark, sf)
+    return S.bm25(i, TERMS).join(i.chunks.select("chunk_id", "path", "start_line"), "chunk_id").select("path", "start_line", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"WITH {_bm25_sql([PHRASE])} SELECT path, start_line, tf FROM h")
 def search_phrase(spark, sf):
+    i = _index(spark, sf)
+    return i.hits([PHRASE]).join(i.chunks.select("chunk_id", "path", "start_line"), "chunk_id").select("path", "start_line", "tf")
+
+
+@query(f"WITH {_bm25_sql(TERMS)} SELECT path, start_line, term, tf, dl FROM h")
+def phrase_hits(spark, sf):
+    """Without an index: one pass over the chunks."""
     c = _chunks(spark, sf)
-    return S.phrase_hits(c, [PHRASE]).join(c.select("chunk_id", "path", "start_line"), "chunk_id").select("path", "start_line", "tf")
+    return S.phrase_hits(c, TERMS).join(c.select("chunk_id", "path", "start_line"), "chunk_id").select("path", "start_line", "term", "tf", "dl")
 
 
 def _ranked_sql() -> str:
@@ -192,7 +220,7 @@ rk AS (SELECT path, start_line, end_line, bm25, content AS snippet,
 
 @query(f"WITH {_ranked_sql()} SELECT path, start_line, end_line, score, reason FROM rk")
 def search_ranked(spark, sf):
-    return S.ranked(_chunks(spark, sf), QUERY, 20).drop("snippet")
+    return S.ranked(_index(spark, sf), QUERY, 20).drop("snippet")
 
 
 _TRIM_SQL = """CASE WHEN length(s1) > {most} THEN substr(s1, 1, {most}) || chr(10) || '...' ELSE s1 END"""
@@ -200,15 +228,15 @@ _CUT_SQL = """CASE WHEN len(string_split({c}, chr(10))) > {n} THEN array_to_stri
 
 
 @query(f"""WITH {_ranked_sql()}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, start_line) AS rn FROM rk),
-f AS (SELECT *, min(rn) OVER (PARTITION BY path) AS fr FROM o), d AS (SELECT *, dense_rank() OVER (ORDER BY fr) AS fno FROM f),
+f AS (SELECT *, min(rn) OVER (PARTITION BY path) AS fr FROM o WHERE rn <= 5), d AS (SELECT *, dense_rank() OVER (ORDER BY fr) AS fno FROM f),
 r2 AS (SELECT * EXCLUDE (rn), row_number() OVER (ORDER BY rn) AS rn FROM d WHERE fno <= 3),
-c1 AS (SELECT *, {_CUT_SQL.format(c="snippet", n=40)} AS s1 FROM r2 WHERE rn <= 5),
+c1 AS (SELECT *, {_CUT_SQL.format(c="snippet", n=40)} AS s1 FROM r2),
 c2 AS (SELECT *, {_TRIM_SQL.format(most=3200)} AS s2 FROM c1),
 e AS (SELECT *, strlen(path) + strlen(reason) + strlen(s2) + 100 AS estimate FROM c2),
 u AS (SELECT *, sum(estimate) OVER (ORDER BY rn) AS used FROM e)
-SELECT rn, path, start_line, end_line, score, reason, estimate, sha256(s2) AS snippet_hash FROM u WHERE rn = 1 OR used <= 12000""")
+SELECT rn, path, start_line, end_line, score, reason, estimate, (SELECT bool_or(rn > 1 AND used > 12000) FROM u) AS truncated, sha256(s2) AS snippet_hash FROM u WHERE rn = 1 OR used <= 12000""")
 def compact_results(spark, sf):
-    return S.compact(S.ranked(_chunks(spark, sf), QUERY, 20)).withColumn("snippet_hash", F.sha2("snippet", 256)).drop("snippet")
+    return S.compact(S.ranked(_index(spark, sf), QUERY, 20)).withColumn("snippet_hash", F.sha2("snippet", 256)).drop("snippet", "symbols")
 
 
 @query(f"WITH {FILES_SQL}, c AS (SELECT path, {_CUT_SQL.format(c='content', n=3)} AS s1 FROM files) SELECT path, {_TRIM_SQL.format(most=800)} AS snippet FROM c")
@@ -244,7 +272,7 @@ def incremental_plan(spark, sf):
 FROM files WHERE path IN (SELECT path FROM rk)""")
 def token_accounting(spark, sf):
     f = _files(spark, sf).withColumn("token_estimate", T.token_estimate(F.col("content")))
-    return U.token_accounting(S.ranked(_chunks(spark, sf), QUERY, 20), f, 3000)
+    return U.token_accounting(S.ranked(_index(spark, sf), QUERY, 20), f, 3000)
 
 
 # The mini code base. ----------------------------------------------------------------------------------------------
@@ -349,19 +377,27 @@ def routes(spark, sf):
     return X.routes(_mini(spark)).drop("raw")
 
 
-@query(f"""WITH {NEAR_SQL}
-SELECT path, symbol AS from_name, unnest(regexp_extract_all(line, '{X.MODEL}', 1)) AS to_name, 'uses' AS type, line_no FROM near
+USES_SQL = f"""SELECT path, symbol AS from_name, unnest(regexp_extract_all(line, '{X.MODEL}', 1)) AS to_name, 'uses' AS type, line_no FROM near
 UNION ALL SELECT path, symbol, {_SHORT.format(c=f"unnest(regexp_extract_all(line, '{X.CONTAINER}', 1))")}, 'depends_on', line_no FROM near
 UNION ALL SELECT * FROM (SELECT path, symbol, coalesce(nullif(a, ''), b) AS job, 'depends_on', line_no FROM (SELECT *, unnest(regexp_extract_all(line, '{X.DISPATCH}', 1)) AS a, unnest(regexp_extract_all(line, '{X.DISPATCH}', 2)) AS b FROM near)) WHERE job <> ''
 UNION ALL SELECT path, cur, {_SHORT.format(c=f"regexp_extract(line, '{X.EXTENDS}', 1)")}, 'extends', line_no FROM php1 WHERE cur <> '' AND regexp_matches(line, '{X.EXTENDS}')
-UNION ALL SELECT path, cur, {_SHORT.format(c="trim(part)")}, 'implements', line_no FROM (SELECT *, unnest(string_split(regexp_extract(line, '{X.IMPLEMENTS}', 1), ',')) AS part FROM php1 WHERE cur <> '') WHERE trim(part) <> ''""")
+UNION ALL SELECT path, cur, {_SHORT.format(c="trim(part)")}, 'implements', line_no FROM (SELECT *, unnest(string_split(regexp_extract(line, '{X.IMPLEMENTS}', 1), ',')) AS part FROM php1 WHERE cur <> '') WHERE trim(part) <> ''"""
+
+
+@query(f"WITH {NEAR_SQL} {USES_SQL}")
 def uses_sites(spark, sf):
     return X.uses(_mini(spark)).drop("raw")
 
 
-@query()
+@query(rf"""WITH {M.values("files", "path, language, content", M.FILES)}, s AS (SELECT *, language = 'php' AS php, language = 'go' AS go FROM files)
+SELECT path, CASE WHEN php THEN regexp_extract(content, 'namespace ([A-Za-z\\]+);', 1) WHEN go THEN split_part(split_part(content, chr(10), 1), ' ', 2) ELSE '' END AS namespace,
+  CASE WHEN php AND regexp_matches(content, '(^|\n)(final )?class ') THEN 'class' ELSE '' END AS class_kind,
+  CASE WHEN php THEN regexp_extract(content, '(?:^|\n)(?:final )?class ([A-Za-z]+)', 1) ELSE '' END AS class_name,
+  CASE WHEN php THEN len(regexp_extract_all(content, '\n *(public|private|protected)( static)? function ')) WHEN go THEN len(regexp_extract_all(content, '\nfunc ')) ELSE 0 END AS methods,
+  CAST(contains(lower(content), 'users') AS INT) + CAST(contains(lower(content), 'save') AS INT) AS matched FROM s""")
 def summaries(spark, sf):
-    return X.summaries(_mini(spark), ["users", "save", "nothing"])
+    s = X.summaries(_mini(spark), ["users", "save", "nothing"])
+    return s.select("path", "namespace", "class_kind", "class_name", F.size("methods").alias("methods"), F.size("matched_for").alias("matched"))
 
 
 def _role_sql() -> str:
@@ -425,12 +461,19 @@ def edges_defines(spark, sf):
     return e.join(name("from_id", "from_name"), "from_id").join(name("to_id", "to_name"), "to_id").select("from_name", "to_name")
 
 
-@query()
+@query(f"""WITH {NEAR_SQL}, {RESOLVE_SQL}, {CALLS_SQL}, uses AS ({USES_SQL}),
+sites AS (SELECT path, from_name, to_name, 'calls' AS type, 0.65::DOUBLE AS confidence FROM calls UNION ALL SELECT path, from_name, to_name, type, 0.8::DOUBLE FROM uses)
+SELECT 'defines' AS type, file_path AS from_name, qualified_name AS to_name, 1.0::DOUBLE AS confidence FROM nodes
+UNION ALL SELECT 'defines', 'routes/web.php', unnest(['GET /users', 'POST /pay']), 1.0::DOUBLE
+UNION ALL SELECT 'imports', path, q, 0.8::DOUBLE FROM (SELECT path, unnest(regexp_extract_all(content, '{_q(X.IMPORT)}', 1)) AS i FROM files) JOIN keys ON key = regexp_replace(split_part(i, '/', -1), '[.][^.]*$', '')
+UNION ALL SELECT 'route_to', r, q, 1.0::DOUBLE FROM (VALUES ('GET /users', 'UserController.index'), ('POST /pay', 'PayController.store')) v(r, target) JOIN keys ON key = target
+UNION ALL SELECT type, coalesce(k1.q, path), k2.q, confidence FROM sites LEFT JOIN keys k1 ON k1.key = trim(from_name) JOIN keys k2 ON k2.key = trim(to_name)
+  WHERE NOT (coalesce(k1.q, path) = k2.q AND coalesce(k1.f, path) = k2.f)""")
 def graph_edges(spark, sf):
-    nodes = G.graph_nodes(_mini(spark))
+    nodes = G.written(G.graph_nodes(_mini(spark)), "nodes")
     name = lambda c, out: nodes.select(F.col("node_id").alias(c), F.col("qualified_name").alias(out))
     e = G.graph_edges(_mini(spark), nodes)
-    return e.join(name("from_id", "from_name"), "from_id").join(name("to_id", "to_name"), "to_id").select("type", "from_name", "to_name", "confidence", "raw")
+    return e.join(name("from_id", "from_name"), "from_id").join(name("to_id", "to_name"), "to_id").select("type", "from_name", "to_name", "confidence")
 
 
 # The link graph of pages. -----------------------------------------------------------------------------------------
@@ -492,10 +535,10 @@ def graph_drift(spark, sf):
 
 @query("SELECT count(*) AS stale FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00'")
 def graph_staleness(spark, sf):
-    return _t(spark, sf, "orders").where(F.col("o_orderdate") > F.lit("1997-01-01").cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("stale"))
+    return FS.stale(_t(spark, sf, "orders").select(F.col("o_orderdate").alias("mtime")), F.lit("1997-01-01").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {GRAPH_SQL}, r AS (SELECT *, CASE WHEN name = 'The' OR qualified_name = 'The' THEN 0 WHEN file_path = 'The' THEN 1 WHEN name || ' ' || qualified_name || ' ' || file_path ILIKE '%The%' THEN CASE type WHEN 'file' THEN 2 ELSE 3 END END AS rank FROM nd)
+@query(f"""WITH {GRAPH_SQL}, r AS (SELECT *, CASE WHEN name = 'The' OR qualified_name = 'The' THEN 0 WHEN file_path = 'The' THEN 1 WHEN name ILIKE '%The%' OR qualified_name ILIKE '%The%' OR file_path ILIKE '%The%' THEN CASE type WHEN 'file' THEN 2 ELSE 3 END END AS rank FROM nd)
 SELECT node_id, type, name, file_path, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, length(name), node_id LIMIT 1""")
 def find_node(spark, sf):
     return G.find_node(_graph(spark, sf)[0], "The")
@@ -507,10 +550,12 @@ def symbol_matches(spark, sf):
     return G.symbol_matches(_graph(spark, sf)[0], ["the", "an", "zzz"])
 
 
-@query(f"""WITH {GRAPH_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY type <> 'file', start_line, node_id) AS k FROM nd WHERE file_path IN (SELECT url FROM pages WHERE page_id < 100))
-SELECT node_id, type, name, qualified_name, file_path, start_line FROM m WHERE k <= 25 AND contains(lower(name || ' ' || qualified_name || ' ' || file_path), '/en/')""")
+@query(f"""WITH {GRAPH_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY type <> 'file', start_line, node_id) AS k FROM nd WHERE file_path IN (SELECT target FROM lk UNION ALL SELECT url FROM pages))
+SELECT node_id, type, name, qualified_name, file_path, start_line FROM m WHERE k <= 25 AND (type = 'file' OR contains(lower(name || ' ' || qualified_name || ' ' || file_path), 'th'))""")
 def seed_nodes(spark, sf):
-    return G.seed_nodes(_graph(spark, sf)[0], _t(spark, sf, "pages").where("page_id < 100").select(F.col("url").alias("path")), ["/en/"])
+    """Seeds of every page and link target."""
+    nodes = _graph(spark, sf)[0]
+    return G.seed_nodes(nodes, nodes.select(F.col("file_path").alias("path")), ["th"])
 
 
 def _near_sql(depth: int) -> str:
@@ -547,19 +592,52 @@ def neighbors_compact(spark, sf):
     return G.neighbors_compact(near, edges, ["route"])[0].select("node_id", "name", "type", "distance")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, both_ends AS (SELECT from_id AS a, to_id AS b FROM ed UNION SELECT to_id, from_id FROM ed),
+s AS (SELECT from_id FROM ed GROUP BY from_id ORDER BY count(*) DESC, from_id LIMIT 1),
+w(node_id, d) AS (SELECT from_id, 0 FROM s UNION SELECT b, d + 1 FROM w JOIN both_ends ON a = node_id WHERE d < 2),
+near AS (SELECT node_id, min(d) AS distance FROM w GROUP BY node_id)
+SELECT from_id AS start, node_id AS goal, distance AS hops, true AS joined FROM near, s ORDER BY distance DESC, node_id LIMIT 1""")
 def graph_path(spark, sf):
+    """Hops of a shortest path, and whether each step's edge joins its nodes."""
     nodes, edges = _graph(spark, sf)
     row = edges.groupBy(F.col("from_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node_id").limit(1).first()
     far = G.reach(edges, spark.createDataFrame([(row.node_id,)], "seed_id long"), 2).orderBy(F.desc("distance"), "node_id").limit(1).first()
-    return spark.createDataFrame([(i, n, e) for i, (n, e) in enumerate(G.shortest_path(edges, row.node_id, far.node_id))], "pos int, node_id long, edge_id long")
-
-
-@query()
+    steps = G.shortest_path(edges, row.node_id, far.node_id)
+    used = {r.edge_id: {r.from_id, r.to_id} for r in edges.where(F.col("edge_id").isin([e for _, e in steps if e is not None])).collect()}
+    joined = all(used[e] == {steps[i][0], n} for i, (n, e) in enumerate(steps[1:]))
+    return spark.createDataFrame([(steps[0][0], steps[-1][0], len(steps) - 1, joined)], "start long, goal long, hops int, joined boolean")
+
+
+@query(f"""WITH {GRAPH_SQL}, both_ends AS (SELECT from_id AS a, to_id AS b FROM ed UNION SELECT to_id, from_id FROM ed),
+hit AS (SELECT url AS file_path, max(strlen(html) % 97)::DOUBLE AS hit FROM pages GROUP BY url),
+m AS (SELECT nd.*, hit, row_number() OVER (PARTITION BY file_path ORDER BY type <> 'file', start_line, node_id) AS k FROM nd JOIN hit USING (file_path)),
+seed AS (SELECT * FROM m WHERE k <= 25 AND (type = 'file' OR contains(lower(name || ' ' || qualified_name || ' ' || file_path), 'example') OR contains(lower(name || ' ' || qualified_name || ' ' || file_path), 'the'))),
+t AS (SELECT unnest(['example', 'the']) AS term),
+sy AS (SELECT DISTINCT node_id FROM (SELECT node_id, row_number() OVER (PARTITION BY term ORDER BY length(name), node_id) AS k FROM nd, t WHERE type <> 'file' AND (contains(lower(name), term) OR contains(lower(qualified_name), term))) WHERE k <= 10),
+f AS (SELECT node_id, hit + CASE WHEN lower(name) = 'example the' OR lower(qualified_name) = 'example the' THEN 10 ELSE 5 END AS score, 'direct FTS/symbol match' AS reason, 0 AS distance FROM seed
+  UNION ALL SELECT node_id, hit + 6, 'graph neighbor', 0 FROM seed UNION ALL SELECT b, hit + 3.5, 'graph neighbor', 1 FROM seed JOIN both_ends ON a = node_id
+  UNION ALL SELECT node_id, 8, 'symbol match', 0 FROM sy UNION ALL SELECT node_id, 4, 'symbol graph neighbor', 1 FROM sy UNION ALL SELECT b, 4, 'symbol graph neighbor', 1 FROM sy JOIN both_ends ON a = node_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, reason DESC, distance DESC) AS k FROM f)
+SELECT node_id, round(score, 6) AS score, reason, distance, type, name, file_path FROM b JOIN nd USING (node_id) WHERE k = 1 ORDER BY score DESC, node_id LIMIT 50""")
 def expand_related(spark, sf):
+    """Around every page, each with a score of its own."""
     nodes, edges = _graph(spark, sf)
-    direct = _t(spark, sf, "pages").where("page_id < 5").select(F.col("url").alias("path"), F.lit(1.5).cast("double").alias("score"))
-    return G.expand_related(nodes, edges, direct, "example the")
+    direct = _t(spark, sf, "pages").select(F.col("url").alias("path"), (F.octet_length(F.coalesce("html", F.lit(""))) % 97).cast("double").alias("score"))
+    return G.expand_related(nodes, edges, direct, "example the").drop("start_line")
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT count(*) FILTER (type = 'file') AS files, count(*) FILTER (type <> 'file') AS symbols, (SELECT count(*) FROM ed) AS edges,
+  '{{"file":' || count(*) FILTER (type = 'file') || ',"route":' || count(*) FILTER (type = 'route') || '}}' AS node_types, '{{"imports":' || (SELECT count(*) FROM ed) || '}}' AS edge_types,
+  count(*) FILTER (type = 'file' AND node_id NOT IN (SELECT node_id FROM en)) AS orphans FROM nd""")
+def graph_stats(spark, sf):
+    return G.stats_row(*_graph(spark, sf))
+
+
+@query(f"""WITH {FILES_SQL} SELECT path, language, size_bytes, sha256(content) AS hash FROM files WHERE size_bytes <= 1500000 AND NOT contains(content, chr(0))""")
+def scan_files(spark, sf):
+    """The guards of a scan over the documents as files."""
+    f = _files(spark, sf).where(FS.admitted(F.col("path"), F.col("size_bytes")) & (F.instr("content", "\0") == 0))
+    return f.select("path", "language", "size_bytes", F.sha2("content", 256).alias("hash"))
 
 
 # Usage. -----------------------------------------------------------------------------------------------------------
@@ -603,10 +681,24 @@ def usage_windows(spark, sf):
 
 @query()
 def context_pack(spark, sf):
-    text, paths = context.context_pack(_chunks(spark, sf), QUERY, 3000)
+    text, paths = context.context_pack(_index(spark, sf), QUERY, 12_000)
     return spark.createDataFrame([(len(text), len(paths), text)], "chars long, files long, markdown string")
 
 
 @query()
+def context_pack_graph(spark, sf):
+    """A pack with its graph part, over the mini code base."""
+    e = Engine(_mini(spark))
+    pack = e.context("user list save", 4000, True)
+    return spark.createDataFrame([(pack["token_estimate"], len(pack["paths"]), pack["markdown"])], "tokens long, files long, markdown string")
+
+
+@query(f"""WITH {GRAPH_SQL}, s(title) AS (SELECT unnest(['Languages', 'Node types', 'Edge types', 'Most connected files', 'Most connected symbols', 'Routes', 'Services', 'Models', 'Jobs', 'Commands', 'Tests', 'Call hotspots', 'Orphan files', 'Files with high coupling']))
+SELECT title, CASE title WHEN 'Node types' THEN (SELECT count(DISTINCT type) FROM nd) WHEN 'Edge types' THEN (SELECT count(DISTINCT type) FROM ed)
+  WHEN 'Most connected files' THEN least(10, (SELECT count(*) FROM nd WHERE type = 'file')) WHEN 'Files with high coupling' THEN least(10, (SELECT count(*) FROM nd WHERE type = 'file'))
+  WHEN 'Most connected symbols' THEN least(10, (SELECT count(*) FROM nd WHERE type <> 'file')) WHEN 'Routes' THEN least(50, (SELECT count(*) FROM nd WHERE type = 'route'))
+  WHEN 'Orphan files' THEN least(50, (SELECT count(*) FROM nd WHERE type = 'file' AND node_id NOT IN (SELECT node_id FROM en))) ELSE 0 END AS lines FROM s""")
 def graph_report(spark, sf):
-    return spark.createDataFrame([(context.report(*_graph(spark, sf), "pages"),)], "markdown string")
+    """Sections of the report and the lines in each."""
+    parts = context.report(*_graph(spark, sf), "pages").split("\n## ")[1:]
+    return spark.createDataFrame([(p.split("\n")[0], sum(x.startswith("- ") for x in p.split("\n"))) for p in parts], "title string, lines long")

@@ -90,6 +90,13 @@ def query_terms(query: str, synonyms: dict[str, list[str]] = SYNONYMS) -> list[s
     return list(out)
 
 
+def terms_of(query: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
+    """query_terms for a column of queries."""
+    words = F.filter(F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))))
+
+
 def phrase(term: str) -> list[str]:
     """The adjacent tokens a term stands for; none for a term of underscores only."""
     return [x for x in term.split("_") if x]
@@ -99,6 +106,11 @@ def basename(path: Column) -> Column:
     return F.split_part(path, F.lit("/"), F.lit(-1))
 
 
+def first_lines(text: Column, n: int) -> Column:
+    """C14."""
+    return F.array_join(F.slice(lines(text), 1, n), "\n")
+
+
 def trim_snippet(text: Column, max_lines: int) -> Column:
     """At most max_lines lines, then max(800, 80 * max_lines) code points, each cut marked by '...'."""
     ls = lines(text)

@@ -4,8 +4,9 @@ equi-joins on exploded ends."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,13 +16,32 @@ PATH_MOST = 1000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the cluster names; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="repolens-"))
+    """checkpoint() in the folder that the cluster names; one of our own only in local mode and where none is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, set as the checkpoint folder."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not found:
+        found = getattr(spark, "_repolens_graph", None) or "file://" + tempfile.mkdtemp(prefix="repolens-")
+        spark._repolens_graph = found
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again, for tables that several steps read."""
+    path = f"{shared_folder(df.sparkSession)}/repolens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def graph_nodes(files: DataFrame) -> DataFrame:
     """All nodes, routes included; node_id is a hash of what identifies the node."""
     r = X.routes(files)
@@ -61,7 +81,9 @@ def import_base(path: Column) -> Column:
 
 def graph_edges(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """G1: defines, imports, route_to, calls, uses, depends_on, extends, implements; self edges are dropped."""
-    one, keys = canonical(nodes), symbol_keys(nodes)
+    # five kinds of edges read these: written once, not computed for each
+    nodes = written(nodes, "nodes")
+    one, keys = canonical(nodes), written(symbol_keys(nodes), "symbol-keys")
     file_ids = one.where("type = 'file'").select(F.col("file_path").alias("path"), F.col("node_id").alias("file_id"))
     none = F.lit("")
     defines = one.where("type <> 'file'").join(file_ids, F.col("file_path") == F.col("path")).select(F.col("file_id").alias("from_id"), F.col("node_id").alias("to_id"), F.lit("defines").alias("type"), F.lit(1.0).alias("confidence"), none.alias("raw"), F.col("start_line").alias("line_no"))
@@ -120,28 +142,38 @@ def nodes_of_type(nodes: DataFrame, type_: str, limit: int = 50) -> DataFrame:
     return nodes.where(F.col("type") == type_).orderBy("file_path", "start_line", "node_id").limit(limit).select("node_id", "name", "file_path", "start_line")
 
 
+def stats_row(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A9's counts as one row: files, symbols, edges, node_types, edge_types, orphans. Nodes and edges are read once each."""
+    n = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    n = n.agg(F.coalesce(F.sum(F.when(F.col("type") == "file", F.col("n"))), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(F.col("type") != "file", F.col("n"))), F.lit(0)).alias("symbols"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n"))))).alias("node_types"))
+    e = edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n"))))).alias("edge_types"))
+    o = nodes.where("type = 'file'").join(ends(edges), "node_id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    return n.join(e).join(o)  # one row each
+
+
 def find_node(nodes: DataFrame, query: str) -> DataFrame:
-    """T5: exact name or qualified name, then exact path, then a substring (files first, shortest name)."""
+    """T5: exact name or qualified name, then exact path, then a substring of one of them (files first, shortest name)."""
     exact = F.when((F.col("name") == query) | (F.col("qualified_name") == query), 0).when(F.col("file_path") == query, 1)
-    like = F.concat_ws(" ", "name", "qualified_name", "file_path").ilike(f"%{query}%")
+    like = F.coalesce(F.col("name").ilike(f"%{query}%"), F.lit(False)) | F.coalesce(F.col("qualified_name").ilike(f"%{query}%"), F.lit(False)) | F.coalesce(F.col("file_path").ilike(f"%{query}%"), F.lit(False))
     rank = F.coalesce(exact, F.when(like, F.when(F.col("type") == "file", 2).otherwise(3)))
     return nodes.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", F.length("name"), "node_id").limit(1).select("node_id", "type", "name", "file_path", "rank")
 
 
 def symbol_matches(nodes: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
     """T4: for each term at most limit symbols by length of name."""
-    named = nodes.where("type <> 'file'").select("node_id", "name", "qualified_name", F.explode(F.array(*[F.lit(t) for t in terms])).alias("term"))
+    named = nodes.where("type <> 'file'").select("node_id", "name", "qualified_name", F.explode(F.array(*[F.lit(t) for t in terms]).cast("array<string>")).alias("term"))
     named = named.where(F.expr("lower(name) LIKE concat('%', term, '%') OR lower(qualified_name) LIKE concat('%', term, '%')"))
     w = Window.partitionBy("term").orderBy(F.length("name"), "node_id")
     return named.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= limit).select("term", "node_id", "name")
 
 
 def seed_nodes(nodes: DataFrame, paths: DataFrame, terms: list[str], limit: int = 25) -> DataFrame:
-    """The first limit nodes of each path, files first; then those that hold a term."""
+    """The first limit nodes of each path, files first; of these, file nodes and those that hold a term."""
     w = Window.partitionBy("file_path").orderBy(F.col("type") != "file", "start_line", "node_id")
     s = nodes.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= limit)
     low = F.lower(F.concat_ws(" ", "name", "qualified_name", "file_path"))
-    return s.where(F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))).select("node_id", "type", "name", "qualified_name", "file_path", "start_line")
+    held = F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(low, t)) if terms else F.lit(False)
+    return s.where((F.col("type") == "file") | held).select("node_id", "type", "name", "qualified_name", "file_path", "start_line")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -167,21 +199,36 @@ def neighbors(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int =
 
 
 def neighbors_compact(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, max_nodes: int = 40, max_edges: int = 80) -> tuple[DataFrame, DataFrame]:
-    """At most max_nodes of the allowed types by distance, edges between kept nodes only."""
+    """At most max_nodes of the allowed types by distance, without their signature; edges between kept
+    nodes only."""
+    nodes = nodes.drop("signature")
     kept = (nodes.where(F.col("type").isin(types)) if types else nodes).orderBy("distance", "name", "node_id").limit(max_nodes)
     ids = kept.select("node_id")
     e = edges.join(ids.withColumnRenamed("node_id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("node_id", "to_id"), "to_id", "left_semi")
     return kept, e.orderBy("edge_id").limit(max_edges)
 
 
+def neighbors_truncated(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, max_nodes: int = 40, max_edges: int = 80) -> bool:
+    """Whether neighbors_compact leaves out a node of the allowed types or an edge; an edge that lost an end counts."""
+    allowed = nodes.where(F.col("type").isin(types)) if types else nodes
+    kept, kept_edges = neighbors_compact(nodes, edges, types, max_nodes, max_edges)
+    return allowed.limit(max_nodes + 1).count() > max_nodes or kept_edges.count() < edges.count()
+
+
 def shortest_path(edges: DataFrame, start: int, goal: int, most: int = PATH_MOST) -> list[tuple[int, int | None]]:
     """(node, edge that led there) from start to goal; [] if there is none or `most` nodes were seen. The search
-    keeps at most that many nodes, so its front is held on the driver and each hop is one filtered scan."""
+    keeps at most that many nodes, so its front is held on the driver; each hop joins it to the edges, which are written
+    down once."""
+    spark = edges.sparkSession
+    both = edges.select("edge_id", F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.select("edge_id", "to_id", "from_id"))
+    both = written(both, "edges")
     came: dict[int, tuple[int, int] | None] = {start: None}
     front = [start]
     while front and goal not in came and len(came) < most:
-        near = edges.where(F.col("from_id").isin(front)).select("edge_id", F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(edges.where(F.col("to_id").isin(front)).select("edge_id", "to_id", "from_id"))
-        near = near.where(~F.col("b").isin(list(came))).groupBy("b").agg(F.min(F.struct("edge_id", "a")).alias("m")).orderBy("m.edge_id").limit(most).collect()
+        # at most `most` ids each, hence broadcast
+        here = F.broadcast(spark.createDataFrame([(x,) for x in front], "a long"))
+        seen = F.broadcast(spark.createDataFrame([(x,) for x in came], "b long"))
+        near = both.join(here, "a", "left_semi").join(seen, "b", "left_anti").groupBy("b").agg(F.min(F.struct("edge_id", "a")).alias("m")).orderBy("m.edge_id").limit(most).collect()
         front = [r.b for r in near]
         came |= {r.b: (r.m.a, r.m.edge_id) for r in near}
     if goal not in came:
@@ -210,4 +257,14 @@ def expand_related(nodes: DataFrame, edges: DataFrame, direct: DataFrame, task:
     found = found.unionByName(row(named, F.lit(8.0), "symbol match", F.lit(0)))
     found = found.unionByName(row(reach(edges, named.withColumnRenamed("node_id", "seed_id"), depth), F.lit(4.0), "symbol graph neighbor", F.lit(1)))
     best = found.groupBy("node_id").agg(F.max(F.struct(F.round("score", 6).alias("score"), "reason", "distance")).alias("m")).select("node_id", "m.score", "m.reason", "m.distance")
-    return best.join(nodes.select("node_id", "type", "name", "file_path"), "node_id").orderBy(F.desc("score"), "node_id").limit(limit)
+    return best.join(nodes.select("node_id", "type", "name", "file_path", "start_line"), "node_id").orderBy(F.desc("score"), "node_id").limit(limit)
+
+
+def expansion_edges(nodes: DataFrame, edges: DataFrame, direct: DataFrame, task: str, depth: int = 1, limit: int = 30) -> DataFrame:
+    """The edges that expand_related walks over, by edge_id, with the names of their ends: those at a node that is less
+    than depth away from a seed or from a symbol that holds a term."""
+    terms = T.query_terms(task)
+    start = seed_nodes(nodes, direct, terms).select("node_id").unionByName(symbol_matches(nodes, terms).select("node_id")).distinct() if terms else seed_nodes(nodes, direct, terms).select("node_id")
+    walked = neighbors(nodes, edges, start, depth)[1].orderBy("edge_id").limit(limit)
+    name = lambda c, out: nodes.select(F.col("node_id").alias(c), F.col("name").alias(out))
+    return walked.join(name("from_id", "from_name"), "from_id").join(name("to_id", "to_name"), "to_id").orderBy("edge_id")

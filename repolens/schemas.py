@@ -6,3 +6,5 @@ CHUNKS = "file_id bigint, project string, path string, chunk_id bigint, start_li
 NODES = "node_id bigint, type string, name string, qualified_name string, file_path string, start_line int, end_line int, signature string"
 EDGES = "edge_id bigint, from_id bigint, to_id bigint, type string, confidence double, raw string"
 USAGE = "usage_id bigint, tool string, project string, called_at timestamp, tokens_without bigint, tokens_actual bigint"
+SYMBOLS = "project string, path string, name string, kind string, line_no int, signature string"
+IMPORTS = "project string, path string, imported_path string"

@@ -64,12 +64,38 @@ def output_language(path: Column) -> Column:
     return _language(path, OUTPUT_LANGUAGES)
 
 
-def scan_directory(spark: SparkSession, root: str, patterns: list[str] = IGNORED) -> DataFrame:
-    """Files below root. Path and size decide before content is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def admitted(path: Column, size: Column, patterns: list[str] = IGNORED) -> Column:
+    """Whether path and size let a file in."""
+    return (size <= MAX_FILE_BYTES) & ~ignored(path, patterns) & (language_of(path) != "")
+
+
+def root_patterns(spark: SparkSession, root: str) -> list[str]:
+    """The patterns of the .gitignore in root, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    stream = fs.open(path)  # Spark's readers pass over names that begin with a dot
+    try:
+        return gitignore_patterns(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+#: Kept paths are named to the second scan in groups of so many.
+PATHS_AT_ONCE = 20_000
+
+
+def scan_directory(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+    """Files below root; default patterns and those of the root's .gitignore. The first scan lists paths and sizes
+    without content; the second reads the kept paths only, as long as they are few enough to be named one by one."""
+    patterns = [*IGNORED, *root_patterns(spark, root)] if patterns is None else patterns
+    scan = lambda *paths: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")) + "/", "")
-    raw = raw.where(F.col("length") <= MAX_FILE_BYTES).withColumn("rel", rel)
-    raw = raw.where(~ignored(F.col("rel"), patterns)).withColumn("language", language_of(F.col("rel"))).where("language <> ''")
+    fits = admitted(F.col("rel"), F.col("length"), patterns)
+    kept = scan(root).select("path", "length", rel.alias("rel")).where(fits).select("path").limit(PATHS_AT_ONCE + 1).collect()
+    raw = scan(*[r.path for r in kept]) if 0 < len(kept) <= PATHS_AT_ONCE else scan(root)
+    raw = raw.withColumn("rel", rel).where(fits).withColumn("language", language_of(F.col("rel")))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     return raw.withColumn("text", text).where(F.col("text").isNotNull() & (F.instr("text", "\0") == 0)).select(
         F.col("rel").alias("path"), "language", F.col("length").alias("size_bytes"), F.date_trunc("second", "modificationTime").alias("mtime"), F.sha2(F.col("content"), 256).alias("hash"), F.col("text").alias("content")
@@ -77,11 +103,12 @@ def scan_directory(spark: SparkSession, root: str, patterns: list[str] = IGNORED
 
 
 def document_files(documents: DataFrame) -> DataFrame:
-    """A document table as files: project = source, path = source/lang/doc_<id>.md."""
+    """A document table as files: project = source, path = source/lang/doc_<id>.md; a null id is written `none`, so
+    that no path is null."""
     text = F.coalesce("text", F.lit(""))
     return documents.select(
         F.col("doc_id").alias("file_id"), F.coalesce("source", F.lit("")).alias("project"),
-        F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/doc_"), F.col("doc_id"), F.lit(".md")).alias("path"),
+        F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/doc_"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".md")).alias("path"),
         F.coalesce("lang", F.lit("")).alias("language"), F.octet_length(text).cast("long").alias("size_bytes"), text.alias("content"),
     )
 
@@ -105,6 +132,19 @@ def longest_prefix(paths: DataFrame, projects: DataFrame) -> DataFrame:
     return p.withColumn("n_", F.row_number().over(w)).where("n_ = 1").select("path", "name", "root_path")
 
 
+def stale(files: DataFrame, built: Column) -> DataFrame:
+    """one row, the files that changed after the graph was built; all of them if it never was."""
+    return files.where(built.isNull() | (F.col("mtime") > built)).agg(F.count(F.lit(1)).alias("stale"))
+
+
+def project_named(projects: DataFrame, name: str) -> DataFrame:
+    """The project of that name; an error if there is none."""
+    found = projects.where(F.col("name") == name).limit(1)
+    if found.isEmpty():
+        raise KeyError(f"no project: {name}")
+    return found
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """K1, K2: rows of new replace those of old with equal keys."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -1,5 +1,6 @@
 """The engine on small code bases, and its operators against plain Python."""
 
+import json
 import re
 import sqlite3
 
@@ -11,6 +12,7 @@ from repolens.engine import Engine
 from repolens.functions import text as T
 from repolens.operators import extract, graph, search, usage
 from repolens.plans import context
+from repolens.plans.workspace import Workspace, graph_document
 from repolens.sources import files as sources
 from repolens.streaming import usage as streams
 
@@ -71,7 +73,8 @@ def test_compact_caps(spark):
     rows = [(f"p{i % 4}", i, i, 10.0 - i, "r", "line\n" * 50) for i in range(8)]
     r = spark.createDataFrame(rows, "path string, start_line int, end_line int, score double, reason string, snippet string")
     got = search.compact(r).collect()
-    assert len(got) == 5 and len({x.path for x in got}) <= 3 and all(x.snippet.endswith("\n...") for x in got)
+    # the first five results, of which p3 is a fourth file
+    assert len(got) == 4 and len({x.path for x in got}) == 3 and all(x.snippet.endswith("\n...") for x in got)
     assert len(search.compact(r, max_chars=50).collect()) == 1
 
 
@@ -102,17 +105,108 @@ def test_routes_and_edges(spark):
 
 
 def test_neighbors_path_and_pack(spark):
-    e = Engine(frame(spark, ("handler.go", "go", "package x\nfunc HandlePayment() { SaveInvoice() }\n"), ("invoice.go", "go", "package x\nfunc SaveInvoice() {}\n"), ("lone.md", "markdown", "alone\n")))
-    near, between = e.neighbors("HandlePayment")
-    assert near.count() >= 2 and between.count() >= 1
-    assert e.path("HandlePayment", "SaveInvoice") == ["HandlePayment", "SaveInvoice"]
-    assert e.path("SaveInvoice", "SaveInvoice") == ["SaveInvoice"]
-    pack = e.context("handle payment", 2000)
-    assert "SaveInvoice" in pack["markdown"] and "handler.go" in pack["paths"] and not pack["truncated"]
-    small = e.context("handle payment", 30)
-    assert small["token_estimate"] <= 30
+    e = Engine(frame(spark, ("kiln.go", "go", "package clay\nfunc FireKiln() { StackShelves(3) }\n"), ("shelf.go", "go", "package clay\nfunc StackShelves(n int) {}\n"), ("lone.md", "markdown", "alone\n")))
+    near, between = e.neighbors("FireKiln")
+    assert near.count() >= 2 and between.count() >= 1 and "signature" not in near.columns
+    assert e.neighbors_truncated("FireKiln", max_nodes=1)
+    assert e.path("FireKiln", "StackShelves") == ["FireKiln", "StackShelves"]
+    assert e.path("StackShelves", "StackShelves") == ["StackShelves"]
+    pack = e.context("fire kiln", 2000)
+    text = pack["markdown"]
+    assert "shelf.go" in text and "kiln.go" in pack["paths"] and not pack["truncated"]
+    # the callee's file is related through its symbol, and its head is there
+    assert text.index("## Direct matches") < text.index("## Related files") < text.index("## Symbols") < text.index("## Relationships") < text.index("## Heads of related files") < text.index("## Notes")
+    assert "func StackShelves(n int)" in text[text.index("## Heads"):] and "FireKiln calls StackShelves" in text
+    small = e.context("fire kiln", 30)
+    # fragments are weighed one by one, each rounded down
+    assert small["token_estimate"] <= 30 + small["markdown"].count("\n")
     assert [r.file_path for r in graph.orphans(e.nodes, e.edges).collect()] == ["lone.md"]
-    assert "Warning" in context.report(e.nodes, e.edges, "x", 7) and "Warning" not in e.report()
+    assert "Warning" in context.report(e.nodes, e.edges, "x", 7) and "Warning" not in e.report() and "- go: 2" in e.report()
+    assert e.call("list_projects") == [""] and e.call("reindex_project", graph_=False)["indexed_files"] == 3
+
+
+def test_compact_cuts_results_before_files(spark):
+    rows = [(p, 1, 2, float(9 - i), "r", "x") for i, p in enumerate("abcdeab")]
+    r = spark.createDataFrame(rows, "path string, start_line int, end_line int, score double, reason string, snippet string")
+    got = search.compact(r).orderBy("rn").collect()
+    assert [x.path for x in got] == ["a", "b", "c"] and not got[0].truncated
+    code = spark.createDataFrame([("k.go", 1, 2, 1.0, "r", "func A() {}\nfunc A() {}\ntype B struct {"), ("l.go", 1, 2, 0.5, "r", "z")], r.schema)
+    one = search.compact(code, max_chars=150)
+    top = one.collect()
+    assert [x.path for x in top] == ["k.go"] and top[0].symbols == ["function A", "type B"] and top[0].truncated
+    assert top[0].estimate == len("k.go") + 1 + len(top[0].snippet) + 100 + len("function A") + 3 + len("type B") + 3
+    assert search.envelope(one).first().asDict() == {"results_count": 1, "files_count": 1, "truncated": True, "max_total_chars": 12000}
+
+
+def test_seeds_keep_files_and_find_node_tests_each_field(spark):
+    kind = "node_id long, type string, name string, qualified_name string, file_path string, start_line int"
+    nodes = spark.createDataFrame([(1, "file", "p.go", "p.go", "p.go", 1), (2, "function", "alpha", "alpha", "p.go", 2), (3, "function", "beta", "beta", "p.go", 3), (4, "function", "xa", "pay", "q", 1)], kind)
+    paths = spark.createDataFrame([("p.go",)], "path string")
+    assert {r.node_id for r in graph.seed_nodes(nodes, paths, ["alph"]).collect()} == {1, 2}
+    assert {r.node_id for r in graph.seed_nodes(nodes, paths, []).collect()} == {1}
+    assert graph.find_node(nodes, "a pay").collect() == [] and graph.find_node(nodes, "PAY").first().node_id == 4
+
+
+def test_scan_reads_the_root_gitignore(spark, tmp_path):
+    for path, text in {".gitignore": "# none\n!keep\n/private/\n*.tmp.md\n", "private/a.md": "no", "x.tmp.md": "no", "node_modules/b.md": "no", "b.md": "yes", "c/d.go": "package c", "e.md": "nul\0"}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    assert {r.path for r in sources.scan_directory(spark, str(tmp_path)).collect()} == {"b.md", "c/d.go"}
+
+
+def test_stored_index_agrees_with_plain_chunks(spark, tmp_path):
+    texts = ["alpha beta gamma alpha", "beta_gamma alpha", "gamma beta", "", "delta alpha beta gamma"]
+    chunks = search.chunk_files(spark.createDataFrame([(i, "p", f"f{i}.md", t) for i, t in enumerate(texts)], "file_id long, project string, path string, content string"))
+    index = search.StoredIndex(spark, str(tmp_path / "i"), 4).write(chunks)
+    show = lambda df: sorted((r.chunk_id, r.term, r.tf) for r in df.collect())
+    terms = ["alpha", "beta_gamma", "zzz", "_", "alpha_beta_gamma"]
+    assert show(index.hits(terms)) == show(search.phrase_hits(chunks, terms)) != []
+    assert index.hits(["_"]).count() == 0
+    assert search.ranked(index, "alpha beta_gamma").collect() == search.ranked(chunks, "alpha beta_gamma").collect()
+
+
+def test_terms_of_a_column_of_queries(spark):
+    queries = ["Where is PAYMENT handled?", "sync a b", "", "x_y payment paid payment", "ünï"]
+    rows = spark.createDataFrame([(q,) for q in queries], "q string").select("q", T.terms_of(F.col("q")).alias("ts")).collect()
+    assert {r.q: list(r.ts) for r in rows} == {q: T.query_terms(q) for q in queries}
+
+
+def test_workspace_refreshes_only_what_changed(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path / "w"))
+    w.add_project("clay", "/srv/clay")
+    w.add_project("clay", "/srv/clay2")
+    assert [(r.name, r.root_path) for r in w.projects().collect()] == [("clay", "/srv/clay2")]
+    assert w.project("clay") == w.project("/srv/clay2/x/y") == "clay"
+    for bad in ("none", "/elsewhere"):
+        with pytest.raises(KeyError):
+            w.project(bad)
+
+    def scan(*rows):
+        d = spark.createDataFrame(rows, "path string, mtime string, content string").withColumn("mtime", F.col("mtime").cast("timestamp"))
+        return d.select("path", sources.language_of(F.col("path")).alias("language"), F.octet_length("content").cast("long").alias("size_bytes"), "mtime", F.sha2("content", 256).alias("hash"), "content")
+
+    a, b, c = ("a.go", "2024-01-01 00:00:00", "package x\nfunc One() { Two() }\n"), ("b.go", "2024-01-01 00:00:00", "package x\nfunc Two() {}\n"), ("c.md", "2024-01-01 00:00:00", "words of clay\n")
+    assert "never built" in w.warning("clay")
+    assert w.reindex("clay", scan(a, b, c)) == {"indexed_files": 3, "changed_files": 3, "deleted_files": 0, "touched_files": 0, "indexed_chunks": 3}
+    calls = lambda: w.edges("clay").where("type = 'calls'").count()
+    assert calls() == 1 and w.built("clay") and w.warning("clay") == "" and w.read("symbols").count() == 2
+    before = {r.qualified_name: r.node_id for r in w.nodes("clay").collect()}
+    again = w.reindex("clay", scan(a, b, c))
+    assert set(again.values()) == {0}
+    b2, c2 = ("b.go", "2024-01-02 00:00:00", "package x\nfunc Three() {}\n"), ("c.md", "2024-01-02 00:00:00", c[2])
+    assert w.reindex("clay", scan(a, b2, c2)) == {"indexed_files": 1, "changed_files": 1, "deleted_files": 0, "touched_files": 1, "indexed_chunks": 1}
+    assert calls() == 0 and {r.name for r in w.read("symbols").collect()} == {"One", "Three"}
+    assert {r.path: str(r.mtime) for r in w.read("files").collect()} == {"a.go": a[1], "b.go": b2[1], "c.md": c2[1]}
+    after = {r.qualified_name: r.node_id for r in w.nodes("clay").collect()}
+    assert after["One"] == before["One"] and "Two" not in after and "Three" in after
+    assert w.reindex("clay", scan(a, c2))["deleted_files"] == 1
+    assert {r.path for r in w.read("chunks").collect()} == {"a.go", "c.md"} and [r.path for r in w.search("clay", "clay words").collect()] == ["c.md"]
+    assert "c.md" in w.context("clay", "clay words", 500)[1]
+    w.record("search", "clay", 100, 20)
+    w.record("context", "clay", 50, 60)
+    assert sorted(r.saved for r in w.usage().collect()) == [-10, 80] and [r.saved for r in w.usage(tool="search").collect()] == [80]
+    doc = json.loads(graph_document("clay", w.nodes("clay"), w.edges("clay")).first().value)
+    assert doc["project"] == "clay" and len(doc["nodes"]) == w.nodes("clay").count() and doc["generated_at"].endswith("Z")
 
 
 def test_disconnected_and_cyclic_paths(spark):
