@@ -8,7 +8,8 @@ same order, which is what makes the likeness follow edit distance rather than se
 agreeing buckets among those that either text fills.
 
 Everything happens within the row: sorts of arrays of packed 64-bit values (40 bits of hash above 24 bits of
-position); the only exchange is the one that brings a document's successor to it.
+position; beyond 2^24 units, which is over 2^25 bytes of text, places are kept modulo 2^24, so order is then seen only
+within each such stretch); the only exchange is the one that brings a document's successor to it.
 
 Defined cases: null text is empty; two texts without any unit are alike (1.0), one without and one with are not
 (0.0); a text of fewer than k units is one k-mer; equal texts have equal fingerprints; the last row of the order is
@@ -91,18 +92,28 @@ def likeness(a: Column, b: Column, tuple_size: int = TUPLE) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.pow(same / filled, F.lit(1.0 / tuple_size))).cast("double")
 
 
+def _range_of(c: Column, bounds: list) -> Column:
+    """How many bounds a key exceeds, by halving; no key goes below all others."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    table = F.lit([int(b) for b in bounds]).cast("array<bigint>")
+    steps = F.lit([1 << i for i in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda lo, step: lo + F.when(F.coalesce(F.get(table, lo + step - 1) < c, F.lit(False)), step).otherwise(0)).cast("long")
+
+
 def with_next(docs: DataFrame, key: str, columns: list[str], prefix: str = "next_", derived: dict[str, Column] | None = None) -> DataFrame:
     """docs with the columns of the next row in descending key order (after the last: the first), without a global
     sort: keys are dealt into ranges of about BUCKET_ROWS rows, each range also gets the top row of the next lower
-    one, and lead() runs within ranges. The table of ranges is bounded by MOST_BUCKETS rows, so it is broadcast. Costly columns
-    go into derived: they are made once a row, after the few rows that stand in two ranges are known."""
+    one, and lead() runs within ranges. Ranges end at quantiles of the keys, so clustered or far-off ids make no large
+    one; all rows of one id, or without any, share a range, as they follow each other. The table of ranges is bounded by
+    MOST_BUCKETS rows, so it is broadcast. Costly columns go into derived: they are made once a row, after the few rows
+    that stand in two ranges are known."""
     derived = derived or {}
-    row = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    n = row["n"] or 0
-    lo, hi = (row["lo"] or 0), (row["hi"] or 0)
+    n = docs.count()
     ranges = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    width = (hi - lo) // ranges + 1
-    at = lambda c: F.floor((F.coalesce(c, F.lit(lo)) - F.lit(lo)) / F.lit(width)).cast("long")
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(docs.agg(F.percentile_approx(key, shares, max(10_000, 4 * ranges)).alias("q")).first()["q"] or [])) if shares else []
+    at = lambda c: _range_of(c, bounds)
     order = [F.col(key).desc_nulls_last(), *[F.col(c).asc() for c in columns]]
     d = docs.withColumn("r_", at(F.col(key)))
     # the top row of each range, by key alone; among equal keys the window below puts the same one first
