@@ -5,8 +5,10 @@ ordered by size class, a spreading key, size and id; prefix sums of the expected
 source cross an integer once for each copy emitted. As neighbours have like sizes, the words taken stay close
 to the target.
 
-Prefix sums are made in two levels: documents are counted in cells (source, size class, spread), cells are summed
-within their source, and documents are numbered within their cell only. No task holds a whole source.
+Prefix sums are made in two levels: documents are counted in cells (source, size class, spread), cells are summed within
+their source, and documents are numbered within their cell only. Keys are spread over `SPREAD` cells at least, more for
+larger tables. No task holds a whole source. Cells are written down, and so are the short rows (key, source, size) where
+no more columns are asked for, so words are counted once (twice with more columns).
 
 Defined cases: a null or blank text has size 0 and is never counted as words (it may get copies, which take 0);
 a null source is a source of its own, last in order; repeated rows are numbered one by one; an empty table gives
@@ -18,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, materialise, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-SPREAD = 16
+#: Cells of a source and size class at least, and the documents for which the whole table gets one more.
+SPREAD, CELL_ROWS = 16, 50_000
+_PRIME = 1_000_003
 
 
 def word_count(text: Column) -> Column:
@@ -64,11 +68,13 @@ def size_class(size: Column) -> Column:
 
 def systematic_copies(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """key, size, source_size, target, copies, taken for each row of docs, with the columns in keep under their names."""
+    spread = max(SPREAD, -(-docs.count() // CELL_ROWS))
     d = docs.select(
         F.col(key).alias("m_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("m_size"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)]
-    ).withColumns({"m_class": size_class(F.col("m_size")), "m_spread": F.pmod(F.coalesce("m_key", F.lit(0)), F.lit(SPREAD)).cast("int")})
+    ).withColumns({"m_class": size_class(F.col("m_size")), "m_spread": F.pmod(F.pmod(F.coalesce("m_key", F.lit(0)), F.lit(_PRIME)), F.lit(spread)).cast("int")})
+    d = d if keep else materialise(d, "mix-sizes")  # short rows, unless more columns are asked for
     cell = ["source", "m_class", "m_spread"]
-    cells = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("m_rows"), F.sum("m_size").alias("m_words"))
+    cells = materialise(d.groupBy(*cell).agg(F.count(F.lit(1)).alias("m_rows"), F.sum("m_size").alias("m_words")), "mix-cells")
     sizes = cells.groupBy("source").agg(F.sum("m_words").alias("source_size"))
     before = Window.partitionBy("source").orderBy("m_class", "m_spread").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("m_before", F.coalesce(F.sum("m_rows").over(before), F.lit(0))).drop("m_rows", "m_words")
@@ -107,7 +113,7 @@ OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), c AS (
-  SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS class, ((coalesce(doc_id, 0) % {SPREAD}) + {SPREAD}) % {SPREAD} AS spread FROM d
+  SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS class, ((coalesce(doc_id, 0) % {_PRIME}) + {_PRIME}) % {_PRIME} % (SELECT greatest({SPREAD}, (count(*) + {CELL_ROWS - 1}) // {CELL_ROWS}) FROM documents) AS spread FROM d
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS source_rank FROM d GROUP BY source
 ), w AS (
