@@ -12,7 +12,9 @@ framing is decoded, and the payload held against its digest.
 Defined cases: null payload is empty; payloads under `least_revisit` bytes are all responses; among equal payloads the
 largest id is the response; ties (rows with equal id and payload) are all responses if that id is the response's,
 and each is read back whole;
-a record whose segments are incomplete, out of length or of a wrong digest gives problem text and no payload; an
+a record whose segments are incomplete, out of length or of a wrong digest gives problem text and no payload; a record
+cut short by the end of its file, or bytes that are no record, give one row with problem text (of type `damaged` if no
+header can be read), and the rest of that file is not read; an
 empty table gives no archive records; extra columns are ignored. A record without an id is
 named by its digest and read back with a null id; it revisits the largest id of its payload, if there is one.
 """
@@ -39,10 +41,12 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """id, url, payload -> also payload_bytes, payload_digest, refers_to (null for responses)."""
     p = pages.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.encode("payload", "UTF-8"))})
     large = F.col("payload_bytes") >= least
-    first = p.where(large).groupBy(F.col("payload_digest").alias("digest_")).agg(F.max("id").alias("origin_"), F.count(F.lit(1)).alias("copies_")).where("copies_ > 1")
-    # only digests that occur again are joined
-    p = p.join(first, large & (F.col("payload_digest") == F.col("digest_")), "left")
-    return p.withColumn("refers_to", F.when(~F.col("origin_").eqNullSafe(F.col("id")), F.col("origin_"))).drop("digest_", "origin_", "copies_")
+    # digests meet in short rows; payloads travel by id and digest, so a very common page is no hot key
+    short = materialise(p.where(large).select(F.col("id").alias("id_"), F.col("payload_digest").alias("digest_")).distinct(), "warc-digests")
+    first = short.groupBy("digest_").agg(F.max("id_").alias("origin_"), F.count(F.lit(1)).alias("copies_")).where("copies_ > 1")
+    again = short.join(first, "digest_").where(~F.col("origin_").eqNullSafe(F.col("id_"))).drop("copies_")
+    p = p.join(again, large & (F.col("payload_digest") == F.col("digest_")) & F.col("id").eqNullSafe(F.col("id_")), "left")
+    return p.withColumnRenamed("origin_", "refers_to").drop("digest_", "id_")
 
 
 def _record(kind: Column, fields: list[Column], block: Column) -> Column:
@@ -104,22 +108,42 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
 
 
 def parse(data: bytes):
-    """(headers, block) of each record of an uncompressed archive."""
+    """(headers, block, problem) of each record of an uncompressed archive. The first record that can't be read whole
+    has a problem, and is the last."""
     at, n = 0, len(data)
     while at < n:
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError(f"no end of headers after byte {at}")
-        lines = data[at:end].decode("utf-8").split(_CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+        lines = data[at:end].decode("utf-8", "replace").split(_CRLF) if end >= 0 else [""]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not lines[0].startswith("WARC/") or not headers.get("content-length", "").isdigit() or not {"warc-record-id", "warc-type"} <= headers.keys():
+            yield {}, b"", f"no record at byte {at}"
+            return
         start = end + 4
         stop = start + int(headers["content-length"])
-        yield headers, data[start:stop]
+        if stop > n:
+            yield headers, b"", f"cut short: {n - start} of {stop - start} bytes"
+            return
+        yield headers, data[start:stop], None
         at = stop + 4
 
 
+def unpacked(data: bytes) -> tuple[bytes, str | None]:
+    """A file's bytes without gzip, member by member; with a problem, the bytes before it."""
+    import zlib
+
+    out, rest = [], data
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error as bad:
+            return b"".join(out), f"gzip: {bad}"
+        if not member.eof:
+            return b"".join(out), "gzip: cut short"
+        rest = member.unused_data
+    return (b"".join(out), None if not rest.strip(b"\0") else "gzip: no member") if out else (data, None)
+
+
 def body_of(block: bytes) -> bytes:
     """The payload of an HTTP message, without transfer framing."""
     head, _, body = block.partition(b"\r\n\r\n")
@@ -141,20 +165,18 @@ _READ = "id string, type string, refers_to string, digest string, origin string,
 
 
 def _read(batches):
-    import gzip
-
     names = [x.split()[0] for x in _READ.split(", ")]
     kinds = pa.schema([("id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string()), ("block", pa.binary()), ("problem", pa.string())])
     for batch in batches:
         for content in batch.column("content"):
-            data = content.as_py()
-            if data[:2] == b"\x1f\x8b":
-                data = gzip.decompress(data)
+            data, broken = unpacked(content.as_py())
             rows, held = [], 0
-            for h, block in parse(data):
+            for h, block, problem in [*parse(data), *([({}, b"", broken)] if broken else [])]:
                 row = dict.fromkeys(names)
-                row |= {"id": h["warc-record-id"], "type": h["warc-type"], "refers_to": h.get("warc-refers-to"), "digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None, "origin": h.get("warc-segment-origin-id"), "number": int(h["warc-segment-number"]) if "warc-segment-number" in h else None, "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None}
-                if row["number"] is not None:
+                row |= {"id": h.get("warc-record-id"), "type": h.get("warc-type", "damaged"), "refers_to": h.get("warc-refers-to"), "digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None, "origin": h.get("warc-segment-origin-id"), "number": _number(h, "warc-segment-number"), "total": _number(h, "warc-segment-total-length")}
+                if problem:
+                    row |= {"number": None, "problem": problem}
+                elif row["number"] is not None:
                     row["block"] = block
                 elif row["type"] == "response":
                     row |= _checked(block, row["digest"])
@@ -167,6 +189,10 @@ def _read(batches):
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
 
+def _number(headers: dict, name: str) -> int | None:
+    return int(headers[name]) if headers.get(name, "").isdigit() else None
+
+
 def _checked(block: bytes, digest: str | None) -> dict:
     try:
         body = body_of(block)

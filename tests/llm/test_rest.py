@@ -47,6 +47,43 @@ def test_likeness_falls_with_edits_and_sees_order(spark):
     assert got.few > 0.85 and got.moved < got.few
 
 
+def test_successors_of_wide_and_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(omh, "BUCKET_ROWS", 20)
+    ids = [-9 * 10**18, 9 * 10**18, 5 * 10**18, None, 7, 7, *range(1000, 1300)]
+    d = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "id_ long, body string").repartition(5)
+    got = {(x.id_, x.body): x.next_body for x in omh.with_next(d, "id_", ["body"]).collect()}
+    order = sorted(((i, f"text {n}") for n, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert len(got) == len(ids) and all(got[x] == order[(n + 1) % len(order)][1] for n, x in enumerate(order))
+
+
+def brute_order_minhash(units: list[str], sketches=32, size=2, k=3) -> list:
+    """Of each bucket's occurrence-numbered k-mers the `size` of least hash, in text order; hashes by a dictionary."""
+    seen, out = {}, {}
+    for at in range(max(1, len(units) - k + 1) if units else 0):
+        mer = tuple(units[at : at + k])
+        seen[mer] = seen.get(mer, -1) + 1
+        h = int.from_bytes(hashlib.md5(repr((mer, seen[mer])).encode()).digest()[:8], "big")
+        out.setdefault(h % sketches, []).append((h, at, mer, seen[mer]))
+    return [tuple(x[2:] for x in sorted(sorted(out.get(b, []))[:size], key=lambda x: x[1])) for b in range(sketches)]
+
+
+def test_likeness_agrees_with_brute_force_order_minhash(spark):
+    """The mean over many texts, as the two use other hashes; and it falls as the edit distance grows."""
+    r = random.Random(14)
+    pairs, want = [], {}
+    for share in (0.0, 0.05, 0.2, 0.5):
+        for _ in range(40):
+            w = [f"w{r.randint(0, 10**5)}" for _ in range(200)]
+            other = [x if r.random() >= share else f"z{r.randint(0, 10**5)}" for x in w]
+            pairs.append((share, " ".join(w), " ".join(other)))
+            a, b = brute_order_minhash(w), brute_order_minhash(other)
+            want.setdefault(share, []).append((sum(x == y and x != () for x, y in zip(a, b, strict=True)) / max(1, sum(x != () or y != () for x, y in zip(a, b, strict=True)))) ** 0.5)
+    rows = spark.createDataFrame(pairs, "share double, a string, b string")
+    got = {x.share: x.m for x in rows.groupBy("share").agg(F.avg(omh.likeness(omh.fingerprint_array(F.col("a")), omh.fingerprint_array(F.col("b")))).alias("m")).collect()}
+    means = {s: sum(v) / len(v) for s, v in want.items()}
+    assert all(abs(got[s] - means[s]) < 0.08 for s in means) and got[0.0] == 1.0 > got[0.05] > got[0.2] > got[0.5]
+
+
 def test_native_operators_run_no_python(spark):
     sf = "/root/testdata/sf0.001"
     for df in (omh.op4_order_minhash(spark, sf), mixing.op7_systematic_mix(spark, sf), chat.op9_chat_format(spark, sf)):
@@ -131,6 +168,21 @@ def test_warc_reports_damage(spark):
     assert problems == ["segments are missing or repeated", f"segments hold {len(block)} of 5 bytes", "digest"]
 
 
+def test_warc_damaged_files_are_problem_rows(spark, tmp_path):
+    import gzip
+
+    head = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    good = head % (1, len(block)) + block + b"\r\n\r\n"
+    files = {"part-cut": good + head % (2, 5) + b"ab", "part-junk": b"junk", "part-gz.gz": gzip.compress(good) + gzip.compress(good)[:-9], "part-fine": good, "part-empty": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = sorted(((r.id, r.type, r.bytes, r.problem) for r in warc.read_archives(spark, str(tmp_path)).collect()), key=repr)
+    fine = ("<urn:page:1>", "response", 5, None)
+    # the last member lacks its end only: its record is whole, and the loss is told
+    assert got == sorted([fine] * 4 + [("<urn:page:2>", "response", None, "cut short: 2 of 5 bytes"), (None, "damaged", None, "no record at byte 0"), (None, "damaged", None, "gzip: cut short")], key=repr)
+
+
 # 3, 8, 10 ---------------------------------------------------------------------------------------------------------
 
 
