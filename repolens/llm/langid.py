@@ -2,11 +2,14 @@
 
 The network (numpy, trained here by backpropagation through time) reads a word's bytes from both ends and gives each
 letter's byte a probability for each language; a document's probabilities are the mean over all of its letters. The
-state starts anew at each word, and words over `STEPS` bytes are cut, so equal words get equal outputs: each distinct
-word is computed once and kept in a table of bounded size.
+state starts anew at each word, so equal words get equal outputs: each distinct word is computed once and kept in a
+table of bounded size. Words over `CORE` + 2 * `MARGIN` bytes, as in scripts without spaces, are read in windows that
+overlap by `MARGIN` bytes on either side and begin at whole characters; each byte counts in the one window whose core
+holds it, so it is read with context from both sides wherever it stands.
 
-Learning uses a sample of at most `sample` labelled documents (by hash of the id); every document is then labelled
-from its whole text.
+Languages are those of all labelled rows. Learning uses at most `SAMPLE` documents of each (by hash of the id), and of
+each document the `SAMPLE_WORDS` windows of least hash, so that what reaches the one task that learns is bounded; every
+document is then labelled from its whole text.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; so is every text if there is nothing to
 learn from; equal probabilities go to the language first in order; repeated rows get equal results; an empty table
@@ -17,14 +20,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, pieces, prefix_hash, span_hash, table, text_view, words
+from .common import SPACE, materialise, mix, pieces, prefix_hash, span_hash, table, text_view, words
 
-STEPS = 20
+CORE, MARGIN = 32, 16
 HIDDEN = 10
-SAMPLE = 2500
+#: Documents of a language, and windows of a document, that are learned from at most. SAMPLE is under Spark's limit for
+#: cutting windows to their first rows before the shuffle, so no task gets all rows of a language.
+SAMPLE, SAMPLE_WORDS = 800, 250
 #: Distinct words whose outputs a task keeps.
 MEMORY = 400_000
 
@@ -150,14 +155,16 @@ class ByteTagger:
                 self.w[k] = (self.w[k] - rate * min(1.0, 2.0 - 2.0 * step / steps) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def word_sums(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Per word: the summed probabilities of its letters, and their number in the last column."""
+    def word_sums(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray, core: np.ndarray) -> np.ndarray:
+        """Per word: the summed probabilities of the letters in its core (core bytes from lead on), and their number in
+        the last column."""
         out = np.zeros((len(starts), len(self.labels) + 1), np.float32)
         for i in range(0, len(starts), 16384):
             x, length, order = grid_of(data, starts[i : i + 16384], ends[i : i + 16384])
             part = np.zeros((len(length), out.shape[1]), np.float32)
             for t, p in enumerate(self.forward(x, length)[0]):
-                letter = LETTER[x[t, : len(p)]]
+                own = order[: len(p)] + i
+                letter = LETTER[x[t, : len(p)]] & (t >= lead[own]) & (t < lead[own] + core[own])
                 part[: len(p), :-1] += p * letter[:, None]
                 part[: len(p), -1] += letter
             out[i + order] = part
@@ -174,32 +181,75 @@ def grid_of(data, starts, ends):
 
 
 def cut_words(data: np.ndarray, offsets: np.ndarray):
-    """Starts, ends and documents of words, long ones cut at STEPS bytes."""
+    """Starts and ends of windows, their documents, and where each window's core begins and how long it is."""
     starts, ends, first = words(data, offsets, SPACE)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    parts = -(-(ends - starts) // STEPS)
-    if (parts > 1).any():
-        owner = np.repeat(np.arange(len(starts)), parts)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, ends, doc = starts[owner] + nth * STEPS, np.minimum(starts[owner] + (nth + 1) * STEPS, ends[owner]), doc[owner]
-    return starts, ends, doc
+    parts = np.where(ends - starts > CORE + 2 * MARGIN, -(-(ends - starts) // CORE), 1)
+    if not (parts > 1).any():
+        return starts, ends, doc, np.zeros(len(starts), np.int64), ends - starts
+    # a byte that continues a character moves a border to the character's start; damaged text moves it 3 bytes at most
+    whole = np.arange(len(data) + 1)
+    inner = np.r_[(data & 0xC0) == 0x80, False]
+    for _ in range(3):
+        whole = np.where(inner[whole], np.maximum(whole - 1, 0), whole)
+    owner = np.repeat(np.arange(len(starts)), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    last = nth == parts[owner] - 1
+    low, high = starts[owner], ends[owner]
+    begin = np.where(nth == 0, low, np.maximum(low, whole[np.minimum(low + nth * CORE, high)]))
+    stop = np.where(last, high, np.maximum(low, whole[np.minimum(low + (nth + 1) * CORE, high)]))
+    left = np.maximum(low, whole[np.maximum(begin - MARGIN, low)])
+    right = np.maximum(stop, whole[np.minimum(stop + MARGIN, high)])
+    return left, right, doc[owner], begin - left, stop - begin
 
 
 def learn(docs: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE) -> ByteTagger | None:
-    """A tagger from at most sample rows of docs, the least by hash of the key."""
+    """A tagger for all labels of docs, from at most sample rows of each, the least by hash of the key. It is trained in
+    one task of an executor; its weights alone come to the driver."""
     known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
     # ids first: texts of other rows never meet in one task; the ids are few by the bound, so they are broadcast
-    few = known.select(F.col(key).alias("k_")).orderBy(F.xxhash64("k_"), "k_").limit(sample).distinct()
-    rows = known.join(F.broadcast(few), F.col(key) == F.col("k_")).select(F.xxhash64(key).alias("h_"), F.col(text).alias("t_"), F.col(label).alias("l_")).orderBy("h_", "l_", "t_").limit(sample).toArrow()
-    if rows.num_rows == 0:
-        return None
-    labels = sorted(set(rows["l_"].to_pylist()))
-    data, off = text_view(rows["t_"])
-    starts, ends, doc = cut_words(data, off)
-    target = np.searchsorted(np.array(labels), np.array(rows["l_"].to_pylist()))[doc]
-    if len(starts) == 0:
+    least = Window.partitionBy("l_").orderBy(F.xxhash64("k_"), "k_")
+    few = known.select(F.col(key).alias("k_"), F.col(label).alias("l_")).withColumn("n_", F.row_number().over(least)).where(F.col("n_") <= sample).select("k_", "l_").distinct()
+    few = materialise(few, "language-keys")
+    rows = known.join(F.broadcast(few), (F.col(key) == F.col("k_")) & (F.col(label) == F.col("l_"))).select(F.xxhash64(key).alias("h_"), F.col(text).alias("t_"), "l_")
+
+    def some(batches):
+        for batch in batches:
+            data, off = text_view(batch.column("t_"))
+            h, l = batch.column("h_").to_pylist(), batch.column("l_").to_pylist()
+            out = {"h_": [], "l_": [], "w_": []}
+            for i, j in pieces(off):
+                part = data[off[i] : off[j]]
+                starts, ends, doc, _, _ = cut_words(part, off[i : j + 1] - off[i])
+                if len(starts) == 0:
+                    continue
+                mark = span_hash(prefix_hash(part), starts, ends) ^ (starts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                order = np.lexsort((mark, doc))
+                rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+                for x in order[rank < SAMPLE_WORDS].tolist():
+                    out["h_"].append(h[i + doc[x]])
+                    out["l_"].append(l[i + doc[x]])
+                    out["w_"].append(part[starts[x] : ends[x]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["h_"], pa.int64()), pa.array(out["l_"], pa.string()), pa.array(out["w_"], pa.binary())], names=["h_", "l_", "w_"])
+
+    def train(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h_", "ascending"), ("l_", "ascending"), ("w_", "ascending")])
+        labels = sorted(set(group["l_"].to_pylist()))
+        data, off = text_view(group["w_"])
+        tagger = ByteTagger(labels).fit(data, off[:-1], off[1:], np.searchsorted(np.array(labels), np.array(group["l_"].to_pylist())))
+        names = [*tagger.w, *(f"label:{x}" for x in labels)]
+        values = [tagger.w[k].tobytes() for k in tagger.w] + [b""] * len(labels)
+        return pa.table({"name": pa.array(names), "value": pa.array(values, pa.binary())})
+
+    made = rows.mapInArrow(some, "h_ long, l_ string, w_ binary").groupBy(F.lit(1).alias("one")).applyInArrow(train, "name string, value binary").collect()
+    labels = sorted(r.name[6:] for r in made if r.name.startswith("label:"))
+    if not labels:
         return None
-    return ByteTagger(labels).fit(data, starts, ends, target)
+    tagger = ByteTagger(labels)
+    for r in made:
+        if r.name in tagger.w:
+            tagger.w[r.name] = np.frombuffer(bytes(r.value), np.float32).reshape(tagger.w[r.name].shape)
+    return tagger
 
 
 def predict(docs: DataFrame, tagger: ByteTagger | None, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -216,15 +266,18 @@ def predict(docs: DataFrame, tagger: ByteTagger | None, key: str, text: str, kee
             total = np.zeros((batch.num_rows, sums.shape[1]))
             for i, j in pieces(off):
                 part = data[off[i] : off[j]]
-                starts, ends, doc = cut_words(part, off[i : j + 1] - off[i])
+                starts, ends, doc, lead, core = cut_words(part, off[i : j + 1] - off[i])
                 if len(starts) == 0:
                     continue
-                h, where, back = np.unique(span_hash(prefix_hash(part), starts, ends), return_index=True, return_inverse=True)
+                spans = span_hash(prefix_hash(part), starts, ends)
+                parted = core != ends - starts  # of equal bytes, windows with another core are other windows
+                spans[parted] = mix(spans[parted] + (lead[parted] * 256 + core[parted]).astype(np.uint64))
+                h, where, back = np.unique(spans, return_index=True, return_inverse=True)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 new = known[at] != h if len(known) else np.ones(len(h), bool)
                 value = np.zeros((len(h), sums.shape[1]), np.float32)
                 value[~new] = sums[at[~new]] if len(known) else value[~new]
-                value[new] = tagger.word_sums(part, starts[where[new]], ends[where[new]])
+                value[new] = tagger.word_sums(part, *(x[where[new]] for x in (starts, ends, lead, core)))
                 if len(known) + new.sum() > MEMORY:
                     known, sums = h, value
                 else:

@@ -240,6 +240,30 @@ def test_language_id_accuracy_and_odd_texts(spark):
     assert langid.learn(docs(spark, [], None), "text", "lang", "doc_id") is None
 
 
+def test_every_letter_is_in_one_core():
+    import numpy as np
+
+    r = random.Random(3)
+    texts = ["x" * n for n in (0, 1, 63, 64, 65, 66, 96, 97, 200)] + ["日本語" * 40, "aé" * 90 + " b", "a b " * 9, "".join(r.choice("aéß語😀") for _ in range(500))]
+    data, off = toxicity.text_view(pa.array(texts))
+    starts, ends, doc, lead, core = langid.cut_words(data, off)
+    hit = np.zeros(len(data), int)
+    for a, b, n, c in zip(starts, ends, lead, core, strict=True):
+        hit[a + n : a + n + c] += 1
+        assert b - a <= langid.CORE + 2 * langid.MARGIN + 8
+        data[a:b].tobytes().decode()  # whole characters only
+    assert (hit == (data != 32)).all()
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "the and of it was " * 5, "aa", "s", 0) for i in range(900)] + [(1000 + i, "zhu qix wuv zaq " * 5, "zz", "s", 0) for i in range(3)]
+    d = spark.createDataFrame(rows, DOCS)
+    tagger = langid.learn(d, "text", "lang", "doc_id", sample=100)
+    assert tagger.labels == ["aa", "zz"]
+    got = langid.predict(docs(spark, ["zaq wuv zhu", "of the it"]), tagger, "doc_id", "text").orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["zz", "aa"]
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
