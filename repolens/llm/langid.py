@@ -27,8 +27,7 @@ from .common import SPACE, materialise, mix, pieces, prefix_hash, span_hash, tab
 
 CORE, MARGIN = 32, 16
 HIDDEN = 10
-#: Documents of a language, and windows of a document, that are learned from at most. SAMPLE is under Spark's limit for
-#: cutting windows to their first rows before the shuffle, so no task gets all rows of a language.
+#: Documents of a language, and windows of a document, that are learned from at most.
 SAMPLE, SAMPLE_WORDS = 800, 250
 #: Distinct words whose outputs a task keeps.
 MEMORY = 400_000
@@ -209,11 +208,16 @@ def learn(docs: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE
     known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull())
     # ids first: texts of other rows never meet in one task; the ids are few by the bound, so they are broadcast
     least = Window.partitionBy("l_").orderBy(F.xxhash64("k_"), "k_")
-    few = known.select(F.col(key).alias("k_"), F.col(label).alias("l_")).withColumn("n_", F.row_number().over(least)).where(F.col("n_") <= sample).select("k_", "l_").distinct()
+    ids = known.select(F.col(key).alias("k_"), F.col(label).alias("l_"))
+    # of a large language, about four times as many rows as needed go on to the task that orders them
+    rows_of = ids.groupBy("l_").agg(F.count(F.lit(1)).alias("rows_"))
+    some = F.pmod(F.xxhash64("k_", F.lit(5)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(4.0 * max(sample, 100)) / F.col("rows_")
+    few = ids.join(F.broadcast(rows_of), "l_").where(some)  # a row a label, for each of which the network has an output
+    few = few.withColumn("n_", F.row_number().over(least)).where(F.col("n_") <= sample).select("k_", "l_").distinct()
     few = materialise(few, "language-keys")
     rows = known.join(F.broadcast(few), (F.col(key) == F.col("k_")) & (F.col(label) == F.col("l_"))).select(F.xxhash64(key).alias("h_"), F.col(text).alias("t_"), "l_")
 
-    def some(batches):
+    def parts(batches):
         for batch in batches:
             data, off = text_view(batch.column("t_"))
             h, l = batch.column("h_").to_pylist(), batch.column("l_").to_pylist()
@@ -241,7 +245,7 @@ def learn(docs: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE
         values = [tagger.w[k].tobytes() for k in tagger.w] + [b""] * len(labels)
         return pa.table({"name": pa.array(names), "value": pa.array(values, pa.binary())})
 
-    made = rows.mapInArrow(some, "h_ long, l_ string, w_ binary").groupBy(F.lit(1).alias("one")).applyInArrow(train, "name string, value binary").collect()
+    made = rows.mapInArrow(parts, "h_ long, l_ string, w_ binary").groupBy(F.lit(1).alias("one")).applyInArrow(train, "name string, value binary").collect()
     labels = sorted(r.name[6:] for r in made if r.name.startswith("label:"))
     if not labels:
         return None
