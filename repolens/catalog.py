@@ -255,13 +255,15 @@ def expand_window(spark, sf):
 
 
 def _snapshots(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    snap = lambda keep, mtime, text: files.where(keep).select("path", F.expr(mtime).alias("mtime"), F.sha2(F.expr(text), 256).alias("hash"))
-    return snap("file_id % 7 <> 0", "file_id", "content"), snap("file_id % 5 <> 0", "file_id + (file_id % 3)", "CASE WHEN file_id % 3 = 2 THEN concat(content, '!') ELSE content END")
+    """Every file before and after: some move, some get a new time, some a new time and text."""
+    snap = lambda path, mtime, text: files.select(F.expr(path).alias("path"), F.expr(mtime).alias("mtime"), F.sha2(F.expr(text), 256).alias("hash"))
+    moved = "CASE WHEN file_id % 5 = 0 THEN concat('moved/', path) ELSE path END"
+    return snap("path", "file_id", "content"), snap(moved, "file_id + (file_id % 3)", "CASE WHEN file_id % 3 = 2 THEN concat(content, '!') ELSE content END")
 
 
 @query(f"""WITH {FILES_SQL},
-o AS (SELECT path, file_id AS m, sha256(content) AS h FROM files WHERE file_id % 7 <> 0),
-n AS (SELECT path, file_id + file_id % 3 AS m, sha256(CASE WHEN file_id % 3 = 2 THEN content || '!' ELSE content END) AS h FROM files WHERE file_id % 5 <> 0)
+o AS (SELECT path, file_id AS m, sha256(content) AS h FROM files),
+n AS (SELECT CASE WHEN file_id % 5 = 0 THEN 'moved/' || path ELSE path END AS path, file_id + file_id % 3 AS m, sha256(CASE WHEN file_id % 3 = 2 THEN content || '!' ELSE content END) AS h FROM files)
 SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'add' WHEN n.path IS NULL THEN 'delete' WHEN n.m = o.m THEN 'skip' WHEN n.h = o.h THEN 'touch' ELSE 'reindex' END AS action
 FROM n FULL JOIN o ON n.path = o.path""")
 def incremental_plan(spark, sf):
@@ -525,11 +527,11 @@ def nodes_of_type(spark, sf):
     return G.nodes_of_type(_graph(spark, sf)[0], "route")
 
 
-@query("SELECT count(*) AS indexed, count(DISTINCT url) FILTER (page_id % 10 <> 0) AS graphed, count(*) <> count(DISTINCT url) FILTER (page_id % 10 <> 0) AS drift FROM pages")
+@query("SELECT count(*) AS indexed, count(DISTINCT url) AS graphed, count(*) <> count(DISTINCT url) AS drift FROM pages")
 def graph_drift(spark, sf):
     p = _t(spark, sf, "pages")
     n = p.agg(F.count(F.lit(1)).alias("indexed"))
-    g = G.page_graph(p.where("page_id % 10 <> 0"))[0].where("type = 'file'").agg(F.count(F.lit(1)).alias("graphed"))
+    g = G.page_graph(p)[0].where("type = 'file'").agg(F.count(F.lit(1)).alias("graphed"))
     return n.join(g).select("indexed", "graphed", (F.col("indexed") != F.col("graphed")).alias("drift"))
 
 
