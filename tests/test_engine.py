@@ -217,6 +217,16 @@ def test_disconnected_and_cyclic_paths(spark):
     assert r == {(1, 0), (2, 1), (3, 1)}
 
 
+def test_path_is_found_among_thousands_of_nodes(spark):
+    """A star of 1,500 nodes around 1; beyond its last, whose edge is the largest, a ring of 40 and a pair apart."""
+    star = [(i, 1, i) for i in range(2, 1502)]
+    ring = [(5000 + i, 2000 + i, 2000 + (i + 1) % 40) for i in range(40)] + [(6000, 2000, 1501), (6001, 1501, 2000), (6002, 2000, 2000), (6003, None, 2000), (6004, 2005, None), (7000, 3000, 3001)]
+    edges = spark.createDataFrame(star + ring, "edge_id long, from_id long, to_id long")
+    assert graph.shortest_path(edges, 1, 2000) == [(1, None), (1501, 1501), (2000, 6000)]
+    assert graph.shortest_path(edges, 2004, 2) == [(2004, None), (2003, 5003), (2002, 5002), (2001, 5001), (2000, 5000), (1501, 6000), (1, 1501), (2, 2)]
+    assert graph.shortest_path(edges, 1, 3000) == [] and graph.shortest_path(edges, 4000, 1) == []
+
+
 def test_read_files_refuses_to_leave_the_project(spark):
     e = Engine(frame(spark, ("a.go", "go", "package a")))
     assert e.read_files(["a.go"]) == [{"path": "a.go", "content": "package a"}]

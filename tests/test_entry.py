@@ -29,5 +29,17 @@ def test_against_sql(spark, name):
     assert show([r[c] for c in cols] for r in df.collect()) == show([r[i] for i in at] for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("pages", [0, 3000])
+def test_graph_path_on_a_hub_and_without_links(spark, tmp_path, pages):
+    """Every page links to one hub, so all pages are two steps from each other."""
+    con = duckdb.connect()
+    path = tmp_path / "pages.parquet"
+    page = """i AS page_id, 'http://p.example.org/' || i AS url, '<a href="/hub">' AS html"""
+    con.sql(f"COPY (SELECT {page} FROM range({pages}) r(i)) TO '{path}' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{path}'")
+    df, rel = catalog.queries()["graph_path"](spark, str(tmp_path)), con.sql(catalog.oracle_sql()["graph_path"])
+    assert df.columns == rel.columns and [tuple(r) for r in df.collect()] == rel.fetchall()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["path", "start_line", "end_line", "score", "reason"]
