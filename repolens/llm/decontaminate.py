@@ -12,10 +12,12 @@
    of `ITEMS`) by cosine; the passage's length counts in full, also outside of the latent space. A space of low rank
    loses items, the more of them the larger the benchmark, so a bound adds what the cosine leaves out: a passage that
    can pass the check below holds at least `least` of the item's rarest words. This bound misses no leak.
-4. *Checks.* A candidate is a leak if the longest common subsequence of the item's words with the passage (and half a
-   block around it) holds `lcs_share` of the item, and half of the item's answer (its last quarter) among them. An item
-   of 72 words or more is sought in parts of about `PIECE` words: a part is a leak if the document also holds half of
-   the item's answer, wherever, or if the part is there nearly verbatim (`VERBATIM`): then it needs no answer.
+4. *Checks.* Candidates whose window shares too few words with the item for the next check, in whatever order, end here;
+   so few subsequences are computed. Any other is a leak if the longest common subsequence of the item's words with the
+   passage (and half a block around it) holds `lcs_share` of the item, and half of the item's answer (its last quarter)
+   among them. An item of 72 words or more is sought in parts of about `PIECE` words: a part is a leak if the document
+   also holds half of the item's answer, wherever, or if the part is there nearly verbatim (`VERBATIM`): then it needs
+   no answer.
 
 Defined cases: null and empty texts have no passages; items without words are never found; equal items are all
 reported; a text shorter than a passage is one passage; repeated rows get equal results; an empty corpus gives no
@@ -41,6 +43,12 @@ ITEMS = 2000
 PIECE = 48
 #: Share of a part of a long item that counts as verbatim.
 VERBATIM = 0.9
+#: An item's words are counted by their number modulo this.
+BUCKETS = 4096
+#: Passages in one product: few stay in the processor's cache.
+ROWS = 1024
+#: A term in more of these passages has a dense column.
+FREQUENT = 16
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -83,15 +91,17 @@ class Query:
             keep[t if telling[t].mean() < 0.5 else t[np.argsort(df[t], kind="stable")[:3]]] = True
         self.idf[~keep] = 0
         self.idf = np.r_[self.idf, 0.0]  # of unknown words
-        self.masks, self.answers = [], []
+        self.masks, self.answers, self.has = [], [], np.zeros((len(self.words), BUCKETS + 1), np.uint8)
         length = np.bincount(self.last, [len(w) for w in self.words], len(self.words)).astype(int)  # of the items
         for p, w in enumerate(self.words):
             mask: dict[int, int] = {}
             for i, x in enumerate(w.tolist()):
                 mask[x] = mask.get(x, 0) | 1 << i
             self.masks.append(mask)
+            self.has[p, :-1] = np.minimum(np.bincount(w % BUCKETS, minlength=BUCKETS), 255)
             n = min(len(w), max(min(3, len(w)), math.ceil(length[self.last[p]] / 4)))
             self.answers.append(((1 << n) - 1) << (len(w) - n))
+        self.size = np.array([len(w) for w in self.words])
         self.index_rare(df, lcs_share)
 
     def index_rare(self, df: np.ndarray, lcs_share: float) -> None:
@@ -130,18 +140,40 @@ def common_subsequence(mask: dict[int, int], n: int, window: list[int]) -> int:
     return ~v & full
 
 
+def enough_words(h: np.ndarray, begin: np.ndarray, end: np.ndarray, c: np.ndarray, q: Query, lcs_share: float) -> np.ndarray:
+    """Whether h[begin:end] shares as many words with passage c of the benchmark as a leak's common subsequence takes; each
+    counts as often as both hold it. With over BUCKETS terms some count as others, so more pass; no leak is left out."""
+    out = np.zeros(len(c), bool)
+    for a in range(0, len(c), 4096):
+        lo, hi, item = begin[a : a + 4096, None], end[a : a + 4096, None], c[a : a + 4096, None]
+        place = np.arange((hi - lo).max())
+        word = h[np.minimum(lo + place, len(h) - 1)]
+        word = np.where((lo + place < hi) & (word < len(q.terms)), word % BUCKETS, BUCKETS).astype(np.uint16)
+        word.sort(axis=1)
+        fresh = np.zeros(word.shape, np.int64)
+        fresh[:, 1:] = np.where(word[:, 1:] != word[:, :-1], place[1:], 0)
+        before = place - np.maximum.accumulate(fresh, axis=1)
+        out[a : a + 4096] = (before < q.has[item, word]).sum(1) >= lcs_share * q.size[item[:, 0]]
+    return out
+
+
 def blocks_of(first: np.ndarray):
     """Block numbers over all documents: first block of each document, and how many there are."""
     n = -(-np.diff(first) // STRIDE)
     return np.r_[0, np.cumsum(n)]
 
 
+def rows_of(first: np.ndarray) -> np.ndarray:
+    """The row of each place."""
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
 def passages(h: np.ndarray, first: np.ndarray, idf: np.ndarray):
     """Sparse TF-IDF rows (passage, term, weight), sorted, of numbered words; a passage is a block and the one after it.
     Passages bear the number of their first block; a document's last block is a passage only if it is its first, too."""
     place = np.flatnonzero(idf[h] > 0)
     at = h[place].astype(np.int64)
-    doc = np.searchsorted(first, place, side="right") - 1
+    doc = rows_of(first)[place]
     start = blocks_of(first)
     block = start[doc] + (place - first[doc]) // STRIDE
     last = np.maximum(start[doc + 1] - 2, start[doc])
@@ -158,7 +190,7 @@ def rare_matches(h: np.ndarray, first: np.ndarray, q: Query) -> tuple[np.ndarray
     enough of the rare words; sorted."""
     n_terms, n_items, (item, times) = len(q.terms), len(q.words), q.rare
     place = np.flatnonzero(np.diff(q.rare_at)[h] > 0)
-    doc = np.searchsorted(first, place, side="right") - 1
+    doc = rows_of(first)[place]
     start = blocks_of(first)
     key, n = np.unique((start[doc] + (place - first[doc]) // STRIDE) * n_terms + h[place], return_counts=True)
     block, t = key // n_terms, key % n_terms
@@ -183,6 +215,60 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
 
 
+def _add_runs(out: np.ndarray, to: np.ndarray, w: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
+    """out[to] += w * source[at] for sorted `to`: the first of every run of equal `to`, then the second, and so on, whole
+    rows at a time (reduceat goes down each column by itself)."""
+    head = _heads(to)
+    n = np.diff(np.r_[head, len(to)])
+    order = np.argsort(-n, kind="stable")
+    head, n = head[order], n[order]
+    total = np.zeros((len(head), out.shape[1]), out.dtype)
+    for j in range(n[0] if len(n) else 0):
+        i = head[: np.searchsorted(-n, -j)] + j
+        part = source[at[i]]
+        part *= w[i, None]
+        total[: len(i)] += part
+    out[to[head]] += total
+
+
+class Sparse:
+    """Passages (row, term, weight), sorted by row, for products with narrow matrices. The terms that are frequent here
+    are dense columns, so neither the rounds by row (words of a passage) nor those by term (FREQUENT) are many."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n_rows: int):
+        n = np.bincount(term)
+        self.common = np.flatnonzero(n > FREQUENT)
+        column = np.full(len(n), -1)
+        column[self.common] = np.arange(len(self.common))
+        column = column[term]
+        dense = column >= 0
+        self.dense = np.zeros((n_rows, len(self.common)), np.float32)
+        self.dense[row[dense], column[dense]] = w[dense]
+        self.row, self.term, self.w = row[~dense], term[~dense], w[~dense]
+
+    def times(self, g: np.ndarray) -> np.ndarray:
+        out = self.dense @ g[self.common]
+        _add_runs(out, self.row, self.w, g, self.term)
+        return out
+
+    def add_transposed(self, y: np.ndarray, z: np.ndarray) -> None:
+        """z += A' y."""
+        z[self.common] += self.dense.T @ y
+        order = np.argsort(self.term, kind="stable")
+        _add_runs(z, self.term[order], self.w[order], y, self.row[order])
+
+
+def unit_rows(p: np.ndarray, t: np.ndarray, w: np.ndarray):
+    """(first and last of the passages, their unit rows) of ROWS passages at a time."""
+    head = _heads(p)
+    ends, n = np.r_[head, len(p)], np.diff(np.r_[head, len(p)])
+    for a in range(0, len(head), ROWS):
+        b = min(a + ROWS, len(head))
+        lo, hi = ends[a], ends[b]
+        norm = np.sqrt(np.add.reduceat(w[lo:hi] ** 2, head[a:b] - lo))
+        yield a, b, Sparse(np.repeat(np.arange(b - a), n[a:b]), t[lo:hi], w[lo:hi] / np.repeat(norm, n[a:b]), b - a)
+
+
 def numbered(docs: DataFrame, q: Query) -> DataFrame:
     """own_, k1_, k2_, words (packed numbers) of each row, written down; and, where words is null, a task's counts:
     (term, blocks that hold it) packed, with the number of terms for all blocks."""
@@ -202,9 +288,9 @@ def numbered(docs: DataFrame, q: Query) -> DataFrame:
                 start = blocks_of(first)
                 df[-1] += start[-1]
                 place = np.flatnonzero(h < n_terms)
-                doc = np.searchsorted(first, place, side="right") - 1
-                block = start[doc] + (place - first[doc]) // STRIDE
-                df[:-1] += np.bincount(np.unique(block * n_terms + h[place]) % n_terms, minlength=n_terms)
+                doc = rows_of(first)[place]
+                key = np.sort((start[doc] + (place - first[doc]) // STRIDE) * n_terms + h[place])
+                df[:-1] += np.bincount(key[_heads(key)] % n_terms, minlength=n_terms)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], names=[*keys, "words", "counts"])
         if last is not None:
             some = np.zeros(len(found := np.flatnonzero(df)), pair)
@@ -246,31 +332,11 @@ def latent_basis(rows: DataFrame, q: Query, rank: int = RANK, seed: int = 3) ->
 
     def run(batches):
         kind, idf, g = shared.value
-        z, single = np.zeros(g.shape, np.float32), np.zeros(len(g), np.int64)
+        z = np.zeros(g.shape, np.float32)
         for batch in batches:
             for _, _, h, first in _words(batch, kind):
-                p, t, w = passages(h, first, idf)
-                if len(p) == 0:
-                    continue
-                # a passage of one term is that term's unit row: it adds the row of G itself
-                alone = np.r_[True, p[1:] != p[:-1]] & np.r_[p[1:] != p[:-1], True]
-                single += np.bincount(t[alone], minlength=len(g))
-                p, t, w = p[~alone], t[~alone], w[~alone]
-                ends = np.r_[_heads(p), len(p)]
-                at = 0
-                while at < len(ends) - 1:  # few rows at a time stay in the processor's cache
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + 1024, side="right")) - 1)
-                    lo, hi = ends[at], ends[to]
-                    head, n = ends[at:to] - lo, np.diff(ends[at : to + 1])
-                    x = w[lo:hi] / np.repeat(np.sqrt(np.add.reduceat(w[lo:hi] ** 2, head)), n)
-                    y = np.add.reduceat(x[:, None] * g[t[lo:hi]], head)
-                    order = np.argsort(t[lo:hi], kind="stable")
-                    first_of = _heads(t[lo:hi][order])
-                    back = y[np.repeat(np.arange(len(n)), n)[order]]
-                    back *= x[order, None]
-                    z[t[lo:hi][order][first_of]] += np.add.reduceat(back, first_of)
-                    at = to
-        z += single[:, None] * g
+                for _, _, part in unit_rows(*passages(h, first, idf)):
+                    part.add_transposed(part.times(g), z)
         some = np.flatnonzero(np.abs(z).sum(1))
         for i in range(0, len(some), 4096):
             part = some[i : i + 4096]
@@ -296,7 +362,7 @@ def search(rows: DataFrame, q: Query, basis: np.ndarray, least_cosine: float, lc
     """k1_, k2_, item_id, cosine, lcs for every leak."""
     unit = q.rows() @ basis
     unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-    shared = rows.sparkSession.sparkContext.broadcast((q, np.r_[basis, np.zeros((1, basis.shape[1]), basis.dtype)], unit))
+    shared = rows.sparkSession.sparkContext.broadcast((q, basis, unit))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches):
@@ -308,41 +374,46 @@ def search(rows: DataFrame, q: Query, basis: np.ndarray, least_cosine: float, lc
             for i, _, h, first in _words(batch, q.kind):
                 start = blocks_of(first)
 
-                def window(d: int, block: int) -> list[int]:
+                def window(d, block):
                     begin = first[d] + block * STRIDE
-                    return h[max(first[d], begin - STRIDE // 2) : min(first[d + 1], begin + 2 * STRIDE + STRIDE // 2)].tolist()
+                    return np.maximum(first[d], begin - STRIDE // 2), np.minimum(first[d + 1], begin + 2 * STRIDE + STRIDE // 2)
 
-                def check(block: int, c: int, cosine: float) -> None:
-                    d = int(np.searchsorted(start, block, side="right")) - 1
+                def common(d: int, block: int, c: int) -> int:
+                    lo, hi = window(d, block)
+                    return common_subsequence(q.masks[c], len(q.words[c]), h[lo:hi].tolist())
+
+                def check(d: int, block: int, c: int, cosine: float) -> None:
                     n, last = len(q.words[c]), q.last[c]
-                    bits = common_subsequence(q.masks[c], n, window(d, block - start[d]))
+                    bits = common(d, block, c)
                     if bits.bit_count() < lcs_share * n:
                         return
                     alone = last == c and (c == 0 or q.last[c - 1] != c)
                     if not (answered(bits, c) if last == c else False) and (alone or bits.bit_count() < VERBATIM * n):
                         # of a long item, the answer may stand elsewhere in the document
-                        if alone or not any(answered(common_subsequence(q.masks[last], len(q.words[last]), window(d, b)), last) for b in range(start[d + 1] - start[d])):
+                        if alone or not any(answered(common(d, b, last), last) for b in range(start[d + 1] - start[d])):
                             return
                     out.append((k1[i + d], k2[i + d], q.item[c], cosine, bits.bit_count() / n))
 
+                def check_all(block: np.ndarray, c: np.ndarray, cosine: np.ndarray) -> None:
+                    d = np.searchsorted(start, block, side="right") - 1
+                    able = enough_words(h, *window(d, block - start[d]), c, q, lcs_share)
+                    for x in zip(*(y[able].tolist() for y in (d, block - start[d], c, cosine)), strict=True):
+                        check(*x)
+
                 near, near_c = rare_matches(h, first, q)
                 p, t, w = passages(h, first, q.idf)
                 head = _heads(p)
                 at = np.searchsorted(p[head], near)
                 blank = np.r_[p[head], -1][at] != near
-                for block, c in zip(near[blank].tolist(), near_c[blank].tolist(), strict=True):
-                    check(block, c, 0.0)
+                check_all(near[blank], near_c[blank], np.zeros(blank.sum()))
                 at, near_c = at[~blank], near_c[~blank]
-                norm = np.sqrt(np.add.reduceat(w * w, head)) if len(p) else w
-                for a in range(0, len(head), 4096):
-                    lo, hi = head[a], head[a + 4096] if a + 4096 < len(head) else len(p)
-                    x = np.add.reduceat(w[lo:hi, None] * basis[t[lo:hi]], head[a : a + 4096] - lo) / norm[a : a + 4096, None]
-                    cos = x @ unit.T
+                for a, b, part in unit_rows(p, t, w):
+                    cos = part.times(basis) @ unit.T
                     close = cos >= least_cosine
-                    mine = slice(*np.searchsorted(at, (a, a + 4096)))
+                    mine = slice(*np.searchsorted(at, (a, b)))
                     close[at[mine] - a, near_c[mine]] = True
-                    for r, c in zip(*np.nonzero(close), strict=True):
-                        check(int(p[head[a + r]]), int(c), float(cos[r, c]))
+                    r, c = np.divmod(np.flatnonzero(close), close.shape[1])
+                    check_all(p[head[a + r]], c, cos[r, c])
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)], names=[*ROW_KEY, "item_id", "cosine", "lcs"])
 

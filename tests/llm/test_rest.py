@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -323,6 +324,64 @@ def test_decontamination_with_many_items(spark, n):
     assert planted <= got and {x for x in got if x[0] < 60} == want
 
 
+class Here:
+    """Rows of one Arrow batch whose mapInArrow runs in this process."""
+
+    def __init__(self, batch):
+        self.batch = batch
+        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+    def where(self, *_):
+        return self
+
+    select = where
+
+    def mapInArrow(self, run, _):
+        return [x for b in run(iter([self.batch])) for x in b.to_pylist()]
+
+
+def test_decontamination_takes_subsequences_of_few_pairs(monkeypatch):
+    """Pairs of texts and items that share too few words take no subsequence, and every leak is found."""
+    np, r = decontaminate.np, random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    prose = lambda k: [vocabulary[int(3000 * r.random() ** 4)] for _ in range(k)]
+    items = [prose(r.randint(15, 71)) for _ in range(200)]
+    texts = [prose(r.randint(0, 300)) for _ in range(200)]
+    for d in range(0, 200, 20):
+        at = r.randint(0, len(texts[d]))
+        texts[d][at:at] = [x if r.random() < 0.9 else "other" for x in items[d]]
+    items, texts = [" ".join(x) for x in items], [" ".join(x) for x in texts]
+    q = decontaminate.Query(pa.table({"item_id": list(range(200)), "text": items}))
+    h, first = decontaminate.tokens(*decontaminate.text_view(pa.array(texts)))
+    h, start = q.numbers(h), decontaminate.blocks_of(first)
+    block = [(start[d] + i // decontaminate.STRIDE, x) for d in range(200) for i, x in enumerate(h[first[d] : first[d + 1]])]
+    q.weigh(np.bincount([x for _, x in set(block)], minlength=len(q.terms) + 1)[:-1], int(start[-1]), 0.02, 0.6)
+    packed = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+    rows = Here(pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([0] * 200), pa.array(packed, pa.binary())], names=["k1_", "k2_", "words"]))
+    basis = np.ascontiguousarray(np.linalg.svd(q.rows(), full_matrices=False)[2][:160].T)
+    calls, plain = [], decontaminate.common_subsequence
+    monkeypatch.setattr(decontaminate, "common_subsequence", lambda *x: calls.append(1) or plain(*x))
+    got = {(x["k1_"], x["item_id"]) for x in decontaminate.search(rows, q, basis, 0.4, 0.6, 0.5)}
+    taken = len(calls)
+    assert len(got) >= 10 and got == all_leaks(texts, items)
+    assert taken <= 300
+
+
+def test_products_of_passages():
+    """Sparse passages times a matrix, and their transpose, are those of the dense ones; frequent terms, rare ones, none."""
+    np = decontaminate.np
+    rng = np.random.default_rng(4)
+    a = (rng.random((300, 90)) < np.r_[np.full(10, 0.7), np.full(70, 0.02), np.zeros(10)]) * rng.random((300, 90)).astype(np.float32)
+    row, term = np.nonzero(a)
+    part = decontaminate.Sparse(row, term, a[row, term], 300)
+    assert 10 <= len(part.common) < 80
+    g, y, z = (rng.normal(size=(n, 16)).astype(np.float32) for n in (90, 300, 90))
+    want = z + a.T @ y
+    part.add_transposed(y, z)
+    assert np.allclose(part.times(g), a @ g, atol=1e-4) and np.allclose(z, want, atol=1e-4)
+    assert not decontaminate.Sparse(row[:0], term[:0], a[row, term][:0], 3).times(g).any()
+
+
 def test_decontamination_of_an_item_in_a_third_of_all_rows(spark):
     r = random.Random(9)
     vocabulary = [f"v{i}" for i in range(3000)]
